@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection",
+    "coordinates", "chunking", "detection", "scenes",
 )
 _LATER = (
     "sources", "admission", "coordinates", "chunking", "detection", "scenes",
