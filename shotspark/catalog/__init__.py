@@ -5,10 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection", "scenes",
+    "coordinates", "chunking", "detection", "scenes", "admission",
 )
 _LATER = (
-    "sources", "admission", "coordinates", "chunking", "detection", "scenes",
+    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission",
     "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 
