@@ -5,10 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection", "scenes", "admission",
+    "coordinates", "chunking", "detection", "scenes", "admission", "tracking",
 )
 _LATER = (
-    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission",
+    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking",
     "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 

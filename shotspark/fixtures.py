@@ -89,7 +89,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _select(spark: SparkSession, sf_dir: str, view: str, source: str) -> DataFrame:
-    text = SQL[view].replace(f"FROM {source}", f"FROM {{{source}}}")
+    text = SQL[view].replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", f"FROM {{{source}}}")
     return spark.sql(text, **{source: table(spark, sf_dir, source)})
 
 
