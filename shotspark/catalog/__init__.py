@@ -5,10 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection", "scenes", "admission", "tracking",
+    "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery",
 )
 _LATER = (
-    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking",
+    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery",
     "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 
