@@ -5,10 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery",
+    "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status",
 )
 _LATER = (
-    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery",
+    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status",
     "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 

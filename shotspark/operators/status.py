@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.operators.ordered import BLOCK, scan
+from shotspark.session import durable
 
 # Stages with their rank, and the stages each may move on to.
 STAGE_RANK = {
@@ -71,18 +72,23 @@ def stage_walk(updates: DataFrame) -> DataFrame:
         F.lit(-1).cast("bigint").alias("since"),
         F.array().cast("array<struct<seq:bigint,stage:string>>").alias("moves"),
     )
+    fits = (F.col("u.seq") > F.col("s.since")) & may_follow(F.col("s.at"), F.col("u.stage"))
     for _ in range(MAX_MOVES):
+        # The state enters each step once, so the plan grows linearly with the steps.
         step = (
-            asked.join(state.select("task_id", "at", "since"), "task_id")
-            .where((F.col("seq") > F.col("since")) & may_follow(F.col("at"), F.col("stage")))
-            .groupBy("task_id")
-            .agg(F.min(F.struct("seq", "stage")).alias("move"))
+            state.alias("s")
+            .join(asked.alias("u"), (F.col("s.task_id") == F.col("u.task_id")) & fits, "left")
+            .groupBy("s.task_id")
+            .agg(
+                F.first(F.struct("s.at", "s.since", "s.moves")).alias("was"),
+                F.min(F.when(F.col("u.seq").isNotNull(), F.struct("u.seq", "u.stage"))).alias("move"),
+            )
         )
-        state = state.join(step, "task_id", "left").select(
+        state = step.select(
             "task_id",
-            F.coalesce("move.stage", "at").alias("at"),
-            F.coalesce("move.seq", "since").alias("since"),
-            F.when(F.col("move").isNotNull(), F.array_append("moves", F.col("move"))).otherwise(F.col("moves")).alias("moves"),
+            F.coalesce("move.stage", "was.at").alias("at"),
+            F.coalesce("move.seq", "was.since").alias("since"),
+            F.when(F.col("move").isNotNull(), F.array_append("was.moves", F.col("move"))).otherwise(F.col("was.moves")).alias("moves"),
         )
     return state.select("task_id", "moves")
 
@@ -93,7 +99,7 @@ def applied_updates(updates: DataFrame, *, block: int = BLOCK) -> DataFrame:
 
     ``updates`` carries ``task_id, seq, ts, stage, progress``.
     """
-    rows = updates.join(stage_walk(updates), "task_id")
+    rows = updates.join(durable(stage_walk(updates)), "task_id")
     before = F.filter("moves", lambda m: m["seq"] < F.col("seq"))
     rows = rows.withColumn(
         "current", F.when(F.size(before) > 0, F.element_at(before, -1)["stage"]).otherwise(F.lit("queued"))
