@@ -5,10 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = (
-    "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status",
+    "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 _LATER = (
-    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status",
+    "sources", "admission", "coordinates", "chunking", "detection", "scenes", "admission", "tracking", "delivery", "status", "results", "analytics", "metrics",
     "tracking", "delivery", "status", "results", "analytics", "metrics",
 )
 

@@ -10,7 +10,7 @@ The order axis is a non-negative BIGINT: a frame number, a chunk index, or micro
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,6 +166,10 @@ def islands(
     )
 
 
+def _identity(position: Column) -> Column:
+    return position.cast("bigint")
+
+
 def locate(
     points: DataFrame,
     intervals: DataFrame,
@@ -177,43 +181,45 @@ def locate(
     *,
     how: str = "inner",
     width: int = BLOCK,
+    axis: Callable[[Column], Column] = _identity,
+    after_start: bool = False,
 ) -> DataFrame:
     """Attach to every point the interval ``[start, end]`` of its key that holds it.
 
-    The intervals of one key must not overlap.  Each is repeated once per block it touches,
-    and inside a block points and interval starts are merged in order, so the cost is a sort
-    and no candidate pairs are formed.  ``how`` is ``inner``, ``left`` or ``anti``.
+    The intervals of one key must not overlap, except that one may end where the next
+    starts when ``after_start`` is set (then a point belongs to ``(start, end]``).  Each
+    interval is repeated once per block it touches, and inside a block points and interval
+    starts are merged in order, so the cost is a sort and no candidate pairs are formed.
+    ``axis`` maps positions to the BIGINT axis of the blocks, e.g. seconds to microseconds.
+    ``how`` is ``inner``, ``left`` or ``anti``.
     """
     keys = list(keys)
     step = F.lit(width).cast("bigint")
+
+    def blk(c: str) -> Column:
+        return block_start(axis(F.col(c)), width)
+
     held = F.struct(
-        F.col(start).cast("bigint").alias("__s"),
-        F.col(end).cast("bigint").alias("__e"),
-        *[F.col(c) for c in payload],
+        F.col(start).alias("__s"), F.col(end).alias("__e"), *[F.col(c) for c in payload]
     )
+    first_kind, last_kind = (1, 0) if after_start else (0, 1)
     iv = intervals.select(
-        *keys,
-        held.alias("__iv"),
-        F.explode(
-            F.sequence(
-                block_start(F.col(start).cast("bigint"), width),
-                block_start(F.col(end).cast("bigint"), width),
-                step,
-            )
-        ).alias(_BLK),
+        *keys, held.alias("__iv"), blk(start).alias("__own"),
+        F.explode(F.sequence(blk(start), blk(end), step)).alias(_BLK),
     ).select(
         *keys,
         _BLK,
-        F.greatest(F.col("__iv.__s"), F.col(_BLK)).alias("__pos"),
-        F.lit(0).alias("__kind"),
+        # Copies in later blocks sort before everything there (NULL first).
+        F.when(F.col(_BLK) == F.col("__own"), F.col("__iv.__s")).alias("__pos"),
+        F.lit(first_kind).alias("__kind"),
         F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__row"),
         "__iv",
     )
     pts = points.select(
         *keys,
-        block_start(F.col(position).cast("bigint"), width).alias(_BLK),
-        F.col(position).cast("bigint").alias("__pos"),
-        F.lit(1).alias("__kind"),
+        blk(position).alias(_BLK),
+        F.col(position).alias("__pos"),
+        F.lit(last_kind).alias("__kind"),
         F.struct(*points.columns).alias("__row"),
         F.lit(None).cast(iv.schema["__iv"].dataType).alias("__iv"),
     )
@@ -225,7 +231,7 @@ def locate(
     merged = (
         pts.unionByName(iv)
         .withColumn("__hit", F.last("__iv", ignorenulls=True).over(w))
-        .where("__kind = 1")
+        .where("__row is not null")
         .withColumn("__hit", F.when(F.col("__hit.__e") >= F.col("__pos"), F.col("__hit")))
     )
     if how == "anti":
