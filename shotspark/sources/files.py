@@ -154,7 +154,9 @@ def write_results(results: DataFrame, path: str, *, buckets: int = 256, mode: st
     reader of one video skip the others.
     """
     docs = results_to_json(results).withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
-    docs.repartition("bucket", "video_id").write.mode(mode).partitionBy("bucket").json(path)
+    # Eight writers per bucket at most: few files, and a long video's parts still spread out.
+    spread = F.pmod(F.xxhash64("video_id", "part"), F.lit(8))
+    docs.repartition("bucket", spread).write.mode(mode).partitionBy("bucket").json(path)
 
 
 def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
