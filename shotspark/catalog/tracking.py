@@ -11,6 +11,7 @@ from shotspark.fixtures import with_views
 from shotspark.functions.boxes import iou
 from shotspark.operators import fusion, tracking
 from shotspark.operators import ownership as own
+from shotspark.plans.tracks import track_videos
 from shotspark.session import durable
 
 QUERIES: dict = {}
@@ -100,15 +101,8 @@ ORACLE["assign_scene"] = with_views(
 )
 
 
-def raw_tracks(spark, d):
-    """Fused boxes, placed in scenes and associated."""
-    kept = fusion.class_nms(fx.detections(spark, d))
-    return tracking.associate_tracks(tracking.assign_scene(kept, box_scenes(spark, d)))
-
-
 def associate_tracks(spark, d):
-    emitted = raw_tracks(spark, d).where("conf >= 0.5")
-    return tracking.dense_track_ids(emitted).select(
+    return track_videos(fx.detections(spark, d), box_scenes(spark, d)).select(
         "video_id", "scene_no", "frame", "track_id", "detector", "det_idx", "class_name", "conf"
     )
 

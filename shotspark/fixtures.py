@@ -140,6 +140,7 @@ def videos(spark, sf_dir):
     return _select(spark, sf_dir, "videos", "events")
 
 
+@_stored
 def detections(spark, sf_dir):
     # One frame's boxes are ranked together; a frame is bounded by what a detector emits.
     return _select(spark, sf_dir, "detections", "lineitem")

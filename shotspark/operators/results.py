@@ -11,7 +11,7 @@ from shotspark.operators.ownership import dedup_owned
 CHUNK = ["video_id", "chunk_index"]
 PIPELINE_VERSION = "1.3"
 #: Frames covered by one result document; a longer video continues in further documents.
-PART_FRAMES = 65_536
+PART_FRAMES = 4_096
 
 
 def merge_scenes(chunk_scenes: DataFrame) -> DataFrame:

@@ -73,6 +73,8 @@ def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
         return []
     if (ok.sum(axis=1) <= 1).all() and (ok.sum(axis=0) <= 1).all():
         return list(zip(*np.nonzero(ok)))
+    rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    cost, ok = cost[np.ix_(rows, cols)], ok[np.ix_(rows, cols)]
     gain = np.where(ok, cost - limit, 0.0)
     flip = gain.shape[0] > gain.shape[1]
     m = gain.T if flip else gain
@@ -101,7 +103,7 @@ def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     pairs = [(int(row_of[j]) - 1, j - 1) for j in range(1, n_cols + 1) if row_of[j]]
     if flip:
         pairs = [(b, a) for a, b in pairs]
-    return sorted((a, b) for a, b in pairs if ok[a, b])
+    return sorted((int(rows[a]), int(cols[b])) for a, b in pairs if ok[a, b])
 
 
 class _Live:
