@@ -84,7 +84,7 @@ def class_nms(
             .where(~F.exists("__kept", lambda k: iou(k, me) >= threshold))
             .select(*dets.columns)
         )
-    return result
+    return result.select(*dets.columns)
 
 
 def emit_tracks(raw: DataFrame, width: Column, height: Column, emit: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotspark.operators.ordered import BLOCK, islands, locate, scan
+from shotspark.session import durable
 
 SCENE = ["video_id", "scene_no"]
 
@@ -115,6 +116,13 @@ class _Live:
         self.seen = np.empty(0, dtype=np.int64)
         self.next_id = 0
 
+    def inherit(self, boxes: np.ndarray, seen: np.ndarray) -> None:
+        """Take over tracks in slot order; they are numbered by their slot."""
+        self.ids = np.concatenate([self.ids, np.arange(self.next_id, self.next_id + len(seen))])
+        self.boxes = np.concatenate([self.boxes, boxes])
+        self.seen = np.concatenate([self.seen, seen.astype(np.int64)])
+        self.next_id += len(seen)
+
     def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray, p: TrackParams) -> np.ndarray:
         """Track id per detection of this frame, -1 where it joins none."""
         alive = frame - self.seen <= p.buffer
@@ -147,75 +155,190 @@ class _Live:
         return got
 
 
-def _track_batches(p: TrackParams):
-    """Fold over rows sorted by (video, scene, segment, frame), a batch at a time."""
+UNIT = ["video_id", "scene_no", "segment", "piece"]
+_STATE, _BOX = 0, 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        key, live = None, _Live()
 
-        def consume(pdf: pd.DataFrame) -> pd.DataFrame:
-            nonlocal key, live
-            who = pdf[["video_id", "scene_no", "segment", "frame"]].to_numpy()
+def _track_batches(p: TrackParams, piece_frames: int):
+    """Fold over sorted units, a batch at a time; only live tracks stay in memory.
+
+    A unit is one piece of a segment.  Its rows are the tracks it inherits (``kind`` 0, by
+    slot) and then its boxes (``kind`` 1, by frame).  Out come the boxes that joined a track
+    and, if the segment goes on, the tracks handed to the next piece.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit: tuple | None = None
+        live, sample = _Live(), None
+
+        def handed_over() -> Iterator[pd.DataFrame]:
+            if unit is None or sample["last_piece"].iloc[0] <= unit[3]:
+                return
+            border = unit[2] + (unit[3] + 1) * piece_frames
+            keep = np.flatnonzero(border - live.seen <= p.buffer)
+            if len(keep):
+                boxes = live.boxes[keep]
+                yield sample.iloc[np.zeros(len(keep), dtype=int)].assign(
+                    kind=_STATE, slot=np.arange(len(keep)), frame=live.seen[keep], raw_id=live.ids[keep],
+                    x1=boxes[:, 0], y1=boxes[:, 1], x2=boxes[:, 2], y2=boxes[:, 3],
+                )
+
+        def consume(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal unit, live, sample
+            who = pdf[UNIT].to_numpy(dtype=np.int64)
+            kind, frame = pdf["kind"].to_numpy(), pdf["frame"].to_numpy()
             boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
             conf = pdf["conf"].to_numpy(dtype=float)
-            cuts = np.flatnonzero((who[1:] != who[:-1]).any(axis=1)) + 1
-            ids = np.empty(len(pdf), dtype=np.int64)
+            step = (who[1:] != who[:-1]).any(axis=1) | (kind[1:] != kind[:-1]) | (frame[1:] != frame[:-1])
+            cuts = np.flatnonzero(step) + 1
+            ids = np.full(len(pdf), -1, dtype=np.int64)
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
-                mine = tuple(who[a, :3])
-                if mine != key:
-                    key, live = mine, _Live()
-                ids[a:b] = live.step(int(who[a, 3]), boxes[a:b], conf[a:b], p)
-            return pdf.assign(raw_id=ids)[ids >= 0]
+                mine = tuple(who[a])
+                if mine != unit:
+                    yield from handed_over()
+                    unit, live, sample = mine, _Live(), pdf.iloc[[a]]
+                if kind[a] == _STATE:
+                    live.inherit(boxes[a:b], frame[a:b])
+                else:
+                    ids[a:b] = live.step(int(frame[a]), boxes[a:b], conf[a:b], p)
+            yield pdf.assign(raw_id=ids)[ids >= 0]
 
+        held: pd.DataFrame | None = None
         for pdf in batches:
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            # The last frame may go on in the next batch.
-            tail = pdf.iloc[-1] if len(pdf) else None
-            if tail is None:
+            if not len(pdf):
                 continue
-            same = (
-                (pdf["video_id"] == tail["video_id"]) & (pdf["scene_no"] == tail["scene_no"])
-                & (pdf["segment"] == tail["segment"]) & (pdf["frame"] == tail["frame"])
-            )
-            first = int(np.argmax(same.to_numpy()))
+            # The last frame may go on in the next batch.
+            key = pdf[[*UNIT, "kind", "frame"]].to_numpy(dtype=np.int64)
+            first = int(np.argmax((key == key[-1]).all(axis=1)))
             held, ready = pdf.iloc[first:], pdf.iloc[:first]
             if len(ready):
-                yield consume(ready.reset_index(drop=True))
-        if held is not None and len(held):
-            yield consume(held.reset_index(drop=True))
+                yield from consume(ready.reset_index(drop=True))
+        if held is not None:
+            yield from consume(held.reset_index(drop=True))
+        yield from handed_over()
 
     return run
 
 
-def track_segments(dets: DataFrame, params: TrackParams = TrackParams(), *, block: int = BLOCK) -> DataFrame:
+def track_segments(
+    dets: DataFrame, params: TrackParams = TrackParams(), *, piece_frames: int = 4096, block: int = BLOCK
+) -> DataFrame:
     """Split scenes where no track can survive: more than ``buffer`` frames without a box.
 
-    Every track is dead by then, so the parts are independent and a long scene becomes
-    several units of work.  Adds ``segment`` (the first frame of the part).
+    Every track is dead by then, so the segments are independent.  Adds ``segment`` (its
+    first frame), and for segments that are still long the ``piece`` of ``piece_frames``
+    frames a box belongs to, with the segment's ``last_piece``.
     """
     candidates = dets.where(F.col("conf") >= params.low)
     busy = candidates.select(*SCENE, "frame").distinct()
     parts = islands(busy, SCENE, F.col("frame"), F.col("frame"), gap=params.buffer - 1, width=block)
     parts = parts.select(*SCENE, F.col("start").alias("segment"), F.col("end").alias("__to"))
-    return locate(candidates, parts, SCENE, "frame", "segment", "__to", width=block).drop("__to")
+    return locate(candidates, parts, SCENE, "frame", "segment", "__to", width=block).select(
+        *dets.columns, "segment",
+        F.expr(f"(frame - segment) div {piece_frames}").alias("piece"),
+        F.expr(f"(__to - segment) div {piece_frames}").alias("last_piece"),
+    )
 
 
-def associate_tracks(dets: DataFrame, params: TrackParams = TrackParams(), *, block: int = BLOCK) -> DataFrame:
+def associate_tracks(
+    dets: DataFrame, params: TrackParams = TrackParams(), *, piece_frames: int = 4096, block: int = BLOCK
+) -> DataFrame:
     """Boxes with ``scene_no`` to raw tracks: adds ``segment`` and ``raw_id``.
 
     Confident boxes are matched to live tracks first, weak boxes only to what is left; an
     unmatched confident box starts a track; a track ends after ``buffer`` frames unseen.
-    A task streams its sorted rows and keeps the live tracks alone in memory.
+
+    Pieces of a long segment run side by side.  Each first assumes that it inherits no
+    track; a piece whose predecessor in fact hands over something else runs again with
+    that, until every piece has used what it really inherits.  That fixed point is the
+    sequential result, and since tracks soon depend on recent boxes only, few pieces need
+    more than a second run.
     """
-    rows = track_segments(dets, params, block=block)
+    if piece_frames <= params.buffer:
+        raise ValueError("piece_frames must exceed the track buffer")
+    rows = track_segments(dets, params, piece_frames=piece_frames, block=block)
+    rows = rows.withColumns({"kind": F.lit(_BOX), "slot": F.lit(0).cast("bigint")})
     schema = T.StructType([*rows.schema.fields, T.StructField("raw_id", T.LongType())])
-    return (
-        rows.repartition(*SCENE, "segment")
-        .sortWithinPartitions(*SCENE, "segment", "frame", "detector", "det_idx")
-        .mapInPandas(_track_batches(params), schema)
+    rows = durable(rows)
+
+    def run(units: DataFrame) -> DataFrame:
+        ordered = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "kind", "slot", "frame", "detector", "det_idx")
+        return durable(ordered.mapInPandas(_track_batches(params, piece_frames), schema))
+
+    keep = [*dets.columns, "segment", "raw_id"]
+    first = run(rows)
+    if first.where(F.col("kind") == _STATE).isEmpty():
+        return first.where(F.col("kind") == _BOX).select(*keep)
+
+    # What each piece was given, by the round that gave it; round 0 gave nothing.
+    content = F.array_sort(F.collect_list(F.struct("slot", "frame", "x1", "y1", "x2", "y2")))
+    rounds = [first]
+    given = rows.where("last_piece > 0").select(*UNIT).distinct().withColumns(
+        {"round": F.lit(0), "used": F.array().cast("array<struct<slot:bigint,frame:bigint,x1:double,y1:double,x2:double,y2:double>>")}
     )
+    given = durable(given)
+    while True:
+        handed = _latest(rounds, given).where(F.col("kind") == _STATE).withColumn("piece", F.col("piece") + 1)
+        due = given.join(handed.groupBy(*UNIT).agg(content.alias("due")), UNIT, "left")
+        due = due.withColumn("due", F.coalesce("due", F.array().cast(given.schema["used"].dataType)))
+        changed = durable(due.where(F.col("due") != F.col("used")).select(*UNIT, "due"))
+        if changed.isEmpty():
+            break
+        again = rows.join(changed.select(*UNIT), UNIT, "left_semi")
+        states = handed.join(changed.select(*UNIT), UNIT, "left_semi").drop("raw_id")
+        rounds.append(run(again.unionByName(states)))
+        given = durable(
+            given.join(changed, UNIT, "left").select(
+                *UNIT,
+                F.when(F.col("due").isNotNull(), len(rounds) - 1).otherwise(F.col("round")).alias("round"),
+                F.coalesce("due", "used").alias("used"),
+            )
+        )
+    final = _latest(rounds, given)
+    roots = _track_roots(final)
+    boxes = final.where(F.col("kind") == _BOX).join(roots, [*UNIT, "raw_id"], "left")
+    # Born in this piece unless the chain of hand-overs leads further back.
+    born = F.coalesce("root_piece", "piece") * F.lit(1 << 32) + F.coalesce("root_id", "raw_id")
+    return boxes.withColumn("raw_id", born).select(*keep)
+
+
+def _latest(rounds: list[DataFrame], given: DataFrame) -> DataFrame:
+    """Each piece's rows from its last run; pieces of short segments ran once."""
+    out = rounds[0].where("last_piece = 0")
+    for n, part in enumerate(rounds):
+        mine = given.where(F.col("round") == n).select(*UNIT)
+        out = out.unionByName(part.where("last_piece > 0").join(mine, UNIT, "left_semi"))
+    return out
+
+
+def _track_roots(final: DataFrame) -> DataFrame:
+    """For tracks that a piece inherited: the piece and id under which they were born.
+
+    Inherited tracks carry their slot as id, and the hand-over names the id in the piece
+    before.  Following the links doubles its reach in every round.
+    """
+    at = ["video_id", "scene_no", "segment"]
+    links = final.where(F.col("kind") == _STATE).select(
+        *at, (F.col("piece") + 1).alias("piece"), F.col("slot").alias("raw_id"),
+        F.col("piece").alias("root_piece"), F.col("raw_id").alias("root_id"),
+    )
+    links = durable(links)
+    while True:
+        up = links.select(
+            *at, F.col("piece").alias("root_piece"), F.col("raw_id").alias("root_id"),
+            F.col("root_piece").alias("__p"), F.col("root_id").alias("__i"),
+        )
+        moved = links.join(up, [*at, "root_piece", "root_id"], "left")
+        if moved.where("__p is not null").isEmpty():
+            return links
+        links = durable(
+            moved.select(
+                *at, "piece", "raw_id",
+                F.coalesce("__p", "root_piece").alias("root_piece"), F.coalesce("__i", "root_id").alias("root_id"),
+            )
+        )
 
 
 def dense_track_ids(raw: DataFrame, order: tuple[str, ...] = ("detector", "det_idx"), *, block: int = BLOCK) -> DataFrame:

@@ -13,11 +13,11 @@ from shotspark.session import durable
 def raw_tracks(dets: DataFrame, scenes: DataFrame, params: TrackParams = TrackParams(), iou: float = 0.55) -> DataFrame:
     """Fused boxes placed in scenes and associated.
 
-    Fused boxes are written because segmentation reads them twice, raw tracks because
-    association runs user-visible Python and numbering reads its rows twice.
+    Fused boxes are written because segmentation reads them twice; association returns a
+    written table already.
     """
     placed = durable(assign_scene(class_nms(dets, iou), scenes))
-    return durable(associate_tracks(placed, params))
+    return associate_tracks(placed, params)
 
 
 def track_videos(
