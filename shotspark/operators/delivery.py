@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,20 +222,20 @@ def in_flight(
     )
 
 
-def retain(entries: DataFrame, as_of: Column, ttl_seconds: int = 7 * 86_400, maxlen: int = 50_000) -> DataFrame:
+def retain(
+    entries: DataFrame, as_of: Column, ttl_seconds: int = 7 * 86_400, maxlen: int = 50_000, *, width: int = HOUR_US
+) -> DataFrame:
     """Drop entries past their age, keep the newest ``maxlen`` of each stream.
 
-    Spark limits the rank in every task before the exchange, so a busy stream ships at most
-    ``maxlen`` rows per task.
+    The rank counts back from ``as_of`` in time blocks, so a busy stream spreads out
+    however large ``maxlen`` is.
     """
     age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    newest = Window.partitionBy("stream").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return (
-        entries.where(age < ttl_seconds * 1_000_000)
-        .withColumn("__rn", F.row_number().over(newest))
-        .where(F.col("__rn") <= maxlen)
-        .drop("__rn")
+    fresh = entries.withColumns({"__age": age, "__back": -F.col("event_id")}).where(
+        F.col("__age") < ttl_seconds * 1_000_000
     )
+    ranked = scan(fresh, ["stream"], F.col("__age"), ["__back"], width=width, rank="__rank")
+    return ranked.where(F.col("__rank") < maxlen).drop("__age", "__back", "__rank")
 
 
 def skip_terminal(jobs: DataFrame, status: DataFrame) -> DataFrame:

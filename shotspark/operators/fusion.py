@@ -11,8 +11,9 @@ from shotspark.functions.boxes import clamp01, clip_boxes, iou
 from shotspark.session import durable
 
 GROUP = ("video_id", "frame", "class_name")
-#: Boxes of one class in one frame that a single fold may hold.
-GROUP_LIMIT = 2048
+#: Boxes of one class in one frame that a single fold may hold.  Spark cuts row_number()
+#: filters down before the exchange up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def union_detectors(primary: DataFrame, aux: DataFrame) -> DataFrame:

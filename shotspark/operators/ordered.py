@@ -5,7 +5,7 @@ A video, task or stream may hold a large share of all rows, so a plain
 cuts the order axis of a key into blocks of a fixed width, works inside ``(key, block)``,
 and only lets one small summary per block meet in a per-key window.
 
-The order axis is a non-negative BIGINT: a frame number, a chunk index, or microseconds.
+The order axis is a BIGINT: a frame number, a chunk index, or microseconds.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.operators.ordered import BLOCK, islands, locate, previous_dense, scan
+from shotspark.session import durable
 
 CHUNK = ["video_id", "chunk_index"]
 
@@ -130,7 +131,7 @@ def pending_after(global_detections: DataFrame, chunks: DataFrame, *, block: int
     dominates all earlier chains, so one ordered maximum over ``(chain, value)`` restarts
     by itself at every chain.
     """
-    links = _with_links(global_detections, chunks)
+    links = durable(_with_links(global_detections, chunks))
     rows = scan(
         links.withColumn("__head", F.when(~F.col("continues"), F.col("chunk_index"))),
         ["video_id"], F.col("chunk_index"), width=block, maxes={"chain": F.col("__head")},
@@ -160,24 +161,14 @@ def dedup_owned(owned: DataFrame) -> DataFrame:
     )
 
 
-def suppress_owned(hard: DataFrame, gradual: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def suppress_owned(hard: DataFrame, gradual: DataFrame) -> DataFrame:
     """drop hard cuts inside a gradual that the same chunk owns.
 
-    Graduals of one chunk may overlap, so they are first merged into disjoint cover.
+    A chunk is at most a few hundred frames long, so its graduals fit one short array.
     """
-    reach = gradual.groupBy(*CHUNK, "start_frame").agg(F.max("end_frame").alias("end_frame"))
-    cover = scan(
-        reach, CHUNK, F.col("start_frame"), width=block, maxes={"__reach": F.col("end_frame")}
-    )
-    cover = scan(cover, CHUNK, F.col("start_frame"), width=block, previous={"__before": F.col("__reach")})
-    # Cut each interval so that it starts after everything before it; the pieces are disjoint.
-    pieces = cover.select(
-        *CHUNK,
-        F.greatest(F.col("start_frame"), F.coalesce(F.col("__before") + 1, F.col("start_frame"))).alias("s"),
-        F.col("end_frame").alias("e"),
-    ).where("s <= e")
-    cover = islands(pieces, CHUNK, F.col("s"), F.col("e"), width=block)
-    return locate(hard, cover, CHUNK, "end_frame", "start", "end", how="anti", width=block)
+    ranges = gradual.groupBy(*CHUNK).agg(F.collect_list(F.struct("start_frame", "end_frame")).alias("__g"))
+    inside = F.exists("__g", lambda g: F.col("end_frame").between(g["start_frame"], g["end_frame"]))
+    return hard.join(ranges, CHUNK, "left").where(~F.coalesce(inside, F.lit(False))).select(*hard.columns)
 
 
 def build_scenes(transitions: DataFrame, videos: DataFrame, *, block: int = BLOCK) -> DataFrame:

@@ -55,30 +55,41 @@ def tracker_resets(scenes: DataFrame, transitions: DataFrame, *, block: int = BL
 
 
 def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    lo = np.maximum(a[:, None, :2], b[None, :, :2])
-    hi = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(hi - lo, 0.0, None), axis=2)
-    size = lambda m: np.prod(np.clip(m[:, 2:] - m[:, :2], 0.0, None), axis=1)
-    union = size(a)[:, None] + size(b)[None, :] - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+    ax1, ay1, ax2, ay2 = (a[:, i, None] for i in range(4))
+    bx1, by1, bx2, by2 = (b[None, :, i] for i in range(4))
+    w = np.minimum(ax2, bx2) - np.maximum(ax1, bx1)
+    h = np.minimum(ay2, by2) - np.maximum(ay1, by1)
+    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+    union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
+    return inter / np.where(union > 0, union, 1.0)
 
 
 def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs that minimise total cost, where leaving a pair out costs ``limit``.
 
-    Rows that touch no common column are separate problems, so single candidates are
-    settled directly and only true contests go through the shortest-path method.
+    If every row of the shorter side prefers another column, those preferences are optimal;
+    only true contests go through the shortest-path method.
     """
-    ok = cost <= limit
-    if not ok.any():
+    flip = cost.shape[0] > cost.shape[1]
+    cost = cost.T if flip else cost
+    m, allowed = np.minimum(cost - limit, 0.0), cost <= limit
+    rows = np.flatnonzero(allowed.any(axis=1))
+    if not len(rows):
         return []
-    if (ok.sum(axis=1) <= 1).all() and (ok.sum(axis=0) <= 1).all():
-        return list(zip(*np.nonzero(ok)))
-    rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-    cost, ok = cost[np.ix_(rows, cols)], ok[np.ix_(rows, cols)]
-    gain = np.where(ok, cost - limit, 0.0)
-    flip = gain.shape[0] > gain.shape[1]
-    m = gain.T if flip else gain
+    best = np.argmin(np.where(allowed[rows], m[rows], 1.0), axis=1)
+    if len(set(best.tolist())) == len(best):
+        pairs = list(zip(rows.tolist(), best.tolist()))
+    else:
+        cols = np.flatnonzero(allowed[rows].any(axis=0))
+        found = _shortest_paths(m[np.ix_(rows, cols)])
+        pairs = [(int(rows[i]), int(cols[j])) for i, j in found if allowed[rows[i], cols[j]]]
+    return sorted((j, i) if flip else (i, j) for i, j in pairs)
+
+
+def _shortest_paths(m: np.ndarray) -> list[tuple[int, int]]:
+    """Minimum-cost assignment of rows to columns by successive shortest paths."""
+    if m.shape[0] > m.shape[1]:
+        return [(i, j) for j, i in _shortest_paths(m.T)]
     n_rows, n_cols = m.shape
     u, v = np.zeros(n_rows + 1), np.zeros(n_cols + 1)
     row_of = np.zeros(n_cols + 1, dtype=int)
@@ -101,10 +112,7 @@ def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
         while j0:
             row_of[j0] = row_of[came[j0]]
             j0 = came[j0]
-    pairs = [(int(row_of[j]) - 1, j - 1) for j in range(1, n_cols + 1) if row_of[j]]
-    if flip:
-        pairs = [(b, a) for a, b in pairs]
-    return sorted((int(rows[a]), int(cols[b])) for a, b in pairs if ok[a, b])
+    return [(int(row_of[j]) - 1, j - 1) for j in range(1, n_cols + 1) if row_of[j]]
 
 
 class _Live:
@@ -126,7 +134,8 @@ class _Live:
     def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray, p: TrackParams) -> np.ndarray:
         """Track id per detection of this frame, -1 where it joins none."""
         alive = frame - self.seen <= p.buffer
-        self.ids, self.boxes, self.seen = self.ids[alive], self.boxes[alive], self.seen[alive]
+        if not alive.all():
+            self.ids, self.boxes, self.seen = self.ids[alive], self.boxes[alive], self.seen[alive]
         got = np.full(len(conf), -1, dtype=np.int64)
         free = np.arange(len(self.ids))
         for members, limit, fuse in (
@@ -143,7 +152,9 @@ class _Live:
                 got[members[d]] = self.ids[free[t]]
                 self.boxes[free[t]] = boxes[members[d]]
                 self.seen[free[t]] = frame
-            free = np.delete(free, [t for t, _ in pairs])
+            left = np.ones(len(free), dtype=bool)
+            left[[t for t, _ in pairs]] = False
+            free = free[left]
         fresh = np.flatnonzero((got < 0) & (conf >= p.new))
         if len(fresh):
             ids = np.arange(self.next_id, self.next_id + len(fresh))

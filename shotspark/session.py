@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +40,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "shots
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a session without one
+    gets a temporary folder, which is right for a single machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        named = tempfile.mkdtemp(prefix="shotspark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    without any gets a temporary one, which is right for a single machine alone.
+    The table cuts the lineage, survives lost executors, and unlike an RDD checkpoint lets
+    later steps read only their columns and lets the planner see its size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shotspark-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/shotspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
