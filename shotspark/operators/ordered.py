@@ -55,7 +55,7 @@ def scan(
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     prev_row = F.struct(*[c.alias(n) for n, c in previous.items()]) if previous else None
 
-    order = F.struct(position.alias("p"), *[F.col(t) for t in tie])
+    order = F.struct(position.alias("p"), *[F.col(t) for t in tie]) if tie else position
     rows = df.withColumn(_BLK, block_start(position, width)).withColumn("__order", order)
 
     totals = []
@@ -63,8 +63,8 @@ def scan(
         totals.append(F.count(F.lit(1)).alias("__n"))
     totals += [F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()]
     totals += [F.max(c).alias(f"__max_{n}") for n, c in maxes.items()]
-    if previous:
-        totals.append(F.max_by(prev_row, F.col("__order")).alias("__last"))
+    # Column by column: fixed-width values under a plain position stay hash-aggregated.
+    totals += [F.max_by(c, F.col("__order")).alias(f"__prev_{n}") for n, c in previous.items()]
 
     before = Window.partitionBy(*keys).orderBy(_BLK)
     before_all = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +74,8 @@ def scan(
     carried += [F.sum(f"__sum_{n}").over(before_all).alias(f"__sum_{n}") for n in sums]
     carried += [F.max(f"__max_{n}").over(before_all).alias(f"__max_{n}") for n in maxes]
     if previous:
-        carried.append(F.lag("__last").over(before).alias("__last"))
+        last = F.struct(*[F.col(f"__prev_{n}").alias(n) for n in previous])
+        carried.append(F.lag(last).over(before).alias("__last"))
     summary = rows.groupBy(*keys, _BLK).agg(*totals).select(*keys, _BLK, *carried)
 
     here = Window.partitionBy(*keys, _BLK).orderBy("__order")
@@ -212,7 +213,8 @@ def locate(
         # Copies in later blocks sort before everything there (NULL first).
         F.when(F.col(_BLK) == F.col("__own"), F.col("__iv.__s")).alias("__pos"),
         F.lit(first_kind).alias("__kind"),
-        F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__row"),
+        # Plain columns rather than one struct: unused ones are pruned down to the scan.
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema if f.name not in keys],
         "__iv",
     )
     pts = points.select(
@@ -220,7 +222,7 @@ def locate(
         blk(position).alias(_BLK),
         F.col(position).alias("__pos"),
         F.lit(last_kind).alias("__kind"),
-        F.struct(*points.columns).alias("__row"),
+        *[c for c in points.columns if c not in keys],
         F.lit(None).cast(iv.schema["__iv"].dataType).alias("__iv"),
     )
     w = (
@@ -231,17 +233,17 @@ def locate(
     merged = (
         pts.unionByName(iv)
         .withColumn("__hit", F.last("__iv", ignorenulls=True).over(w))
-        .where("__row is not null")
+        .where(F.col("__kind") == last_kind)
         .withColumn("__hit", F.when(F.col("__hit.__e") >= F.col("__pos"), F.col("__hit")))
     )
     if how == "anti":
-        return merged.where("__hit is null").select("__row.*")
+        return merged.where("__hit is null").select(*points.columns)
     if how == "inner":
         merged = merged.where("__hit is not null")
     extra = {start: "__s", end: "__e"}
     names = [c for c in (start, end, *payload) if c not in points.columns]
     return merged.select(
-        "__row.*", *[F.col(f"__hit.{extra.get(c, c)}").alias(c) for c in names]
+        *points.columns, *[F.col(f"__hit.{extra.get(c, c)}").alias(c) for c in names]
     )
 
 

@@ -233,23 +233,27 @@ def _track_batches(p: TrackParams, piece_frames: int):
     return run
 
 
-def track_segments(
-    dets: DataFrame, params: TrackParams = TrackParams(), *, piece_frames: int = 4096, block: int = BLOCK
-) -> DataFrame:
-    """Split scenes where no track can survive: more than ``buffer`` frames without a box.
+def track_segments(dets: DataFrame, params: TrackParams = TrackParams(), *, block: int = BLOCK) -> DataFrame:
+    """Parts of scenes that no track can outlive: ``segment`` (first frame) to ``last_frame``.
 
-    Every track is dead by then, so the segments are independent.  Adds ``segment`` (its
-    first frame), and for segments that are still long the ``piece`` of ``piece_frames``
-    frames a box belongs to, with the segment's ``last_piece``.
+    They are separated by more than ``buffer`` frames without a candidate box, after which
+    every track is dead, so segments are independent of each other.
     """
-    candidates = dets.where(F.col("conf") >= params.low)
-    busy = candidates.select(*SCENE, "frame").distinct()
+    busy = dets.where(F.col("conf") >= params.low).select(*SCENE, "frame").distinct()
     parts = islands(busy, SCENE, F.col("frame"), F.col("frame"), gap=params.buffer - 1, width=block)
-    parts = parts.select(*SCENE, F.col("start").alias("segment"), F.col("end").alias("__to"))
-    return locate(candidates, parts, SCENE, "frame", "segment", "__to", width=block).select(
+    return parts.select(*SCENE, F.col("start").alias("segment"), F.col("end").alias("last_frame"))
+
+
+def _units(dets: DataFrame, segments: DataFrame, params: TrackParams, piece_frames: int, block: int) -> DataFrame:
+    """Candidate boxes with their segment and the piece of ``piece_frames`` frames in it."""
+    return locate(
+        dets.where(F.col("conf") >= params.low), segments, SCENE, "frame", "segment", "last_frame", width=block
+    ).select(
         *dets.columns, "segment",
         F.expr(f"(frame - segment) div {piece_frames}").alias("piece"),
-        F.expr(f"(__to - segment) div {piece_frames}").alias("last_piece"),
+        F.expr(f"(last_frame - segment) div {piece_frames}").alias("last_piece"),
+        F.lit(_BOX).alias("kind"),
+        F.lit(0).cast("bigint").alias("slot"),
     )
 
 
@@ -269,19 +273,19 @@ def associate_tracks(
     """
     if piece_frames <= params.buffer:
         raise ValueError("piece_frames must exceed the track buffer")
-    rows = track_segments(dets, params, piece_frames=piece_frames, block=block)
-    rows = rows.withColumns({"kind": F.lit(_BOX), "slot": F.lit(0).cast("bigint")})
+    segments = durable(track_segments(dets, params, block=block))
+    rows = _units(dets, segments, params, piece_frames, block)
     schema = T.StructType([*rows.schema.fields, T.StructField("raw_id", T.LongType())])
-    rows = durable(rows)
 
     def run(units: DataFrame) -> DataFrame:
         ordered = units.repartition(*UNIT).sortWithinPartitions(*UNIT, "kind", "slot", "frame", "detector", "det_idx")
         return durable(ordered.mapInPandas(_track_batches(params, piece_frames), schema))
 
     keep = [*dets.columns, "segment", "raw_id"]
+    if segments.where(F.col("last_frame") - F.col("segment") >= piece_frames).isEmpty():
+        return run(rows).select(*keep)
+    rows = durable(rows)
     first = run(rows)
-    if first.where(F.col("kind") == _STATE).isEmpty():
-        return first.where(F.col("kind") == _BOX).select(*keep)
 
     # What each piece was given, by the round that gave it; round 0 gave nothing.
     content = F.array_sort(F.collect_list(F.struct("slot", "frame", "x1", "y1", "x2", "y2")))
