@@ -14,8 +14,8 @@ CHUNK = ["video_id", "chunk_index"]
 def globalise(detections: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk-local frames to video frames, confidence clamped to [0, 1].
 
-    ``in_range`` is false where the local range leaves the chunk's tensor; callers reject
-    those rows.  The chunk's columns stay attached for the ownership rules.
+    ``in_range`` is false where the local range leaves the chunk's tensor; the ownership
+    rules take no such row.  The chunk's columns stay attached for them.
     """
     joined = detections.join(
         chunks.select(
@@ -42,7 +42,7 @@ def globalise(detections: DataFrame, chunks: DataFrame) -> DataFrame:
 def own_hard(global_detections: DataFrame) -> DataFrame:
     """a hard cut belongs to the one chunk whose valid range holds its frame."""
     return global_detections.where(
-        "type = 'hard_cut' and end_frame between valid_start and valid_end"
+        "in_range and type = 'hard_cut' and end_frame between valid_start and valid_end"
     )
 
 
@@ -57,7 +57,7 @@ def chunk_gradual_summary(graduals: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     opens = "end_frame = context_end and not is_last"
     border = F.col("valid_start") - 1
-    g = graduals.where("type = 'gradual_transition'")
+    g = graduals.where("in_range and type = 'gradual_transition'")
     cand_row = F.when(
         (F.col("start_frame") <= border) & (border <= F.col("end_frame")),
         F.struct("start_frame", "end_frame", (-F.col("confidence")).alias("neg_conf")),
@@ -89,7 +89,7 @@ def own_gradual(global_detections: DataFrame, chunks: DataFrame, *, block: int =
     end_frame, confidence``.  Chunks of a video must be complete and numbered from 0, and a
     chunk must not report the same range twice.
     """
-    graduals = global_detections.where("type = 'gradual_transition'")
+    graduals = global_detections.where("in_range and type = 'gradual_transition'")
     links = _with_links(graduals, chunks)
     twice = F.col("chunk_index") * 2
     chains = islands(

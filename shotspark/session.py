@@ -43,7 +43,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "shots
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only a session without one
     gets a temporary folder, which is right for a single machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
     if named is None:
         named = tempfile.mkdtemp(prefix="shotspark-")
         spark.conf.set("spark.checkpoint.dir", named)
