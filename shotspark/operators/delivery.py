@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotspark.operators.ordered import BLOCK, HOUR_US, scan
+from shotspark.operators.ordered import BLOCK, TIME_BLOCK_US, scan
 from shotspark.session import durable
 
 CHUNK = ["task_id", "chunk_index"]
@@ -195,7 +195,7 @@ def stalled_tasks(progress: DataFrame, as_of: Column, seconds: int = 120) -> Dat
 
 
 def in_flight(
-    published: DataFrame, completed: DataFrame, per_task: int = 2, overall: int = 2, *, width: int = HOUR_US
+    published: DataFrame, completed: DataFrame, per_task: int = 2, overall: int = 2, *, width: int = TIME_BLOCK_US
 ) -> DataFrame:
     """Chunks in flight after every event, per task and overall, with limit flags.
 
@@ -223,7 +223,7 @@ def in_flight(
 
 
 def retain(
-    entries: DataFrame, as_of: Column, ttl_seconds: int = 7 * 86_400, maxlen: int = 50_000, *, width: int = HOUR_US
+    entries: DataFrame, as_of: Column, ttl_seconds: int = 7 * 86_400, maxlen: int = 50_000, *, width: int = TIME_BLOCK_US
 ) -> DataFrame:
     """Drop entries past their age, keep the newest ``maxlen`` of each stream.
 

@@ -262,6 +262,9 @@ def banded_similarity(features: DataFrame, width: int = 101, *, block: int = 512
     )
 
     def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["is_home"].any():
+            # A block that only received its neighbours' edge rows.
+            return pdf.iloc[:0][["video_id", "frame"]].assign(similarity=pd.Series(dtype=object))
         pdf = pdf.sort_values("frame", ignore_index=True)
         m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         norm = np.sqrt((m * m).sum(axis=1))

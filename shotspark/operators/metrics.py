@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotspark.operators.ordered import HOUR_US, islands, scan, with_halo
+from shotspark.operators.ordered import TIME_BLOCK_US, islands, scan, with_halo
 
 SECOND_US = 1_000_000
 
 
-def counter_increase(samples: DataFrame, labels: Sequence[str], seconds: int = 300, *, width: int = HOUR_US) -> DataFrame:
+def counter_increase(samples: DataFrame, labels: Sequence[str], seconds: int = 300, *, width: int = TIME_BLOCK_US) -> DataFrame:
     """L1: increase of each counter over the trailing ``seconds`` at every sample.
 
     ``samples(*labels, us, event_id, value)``.  A drop is a reset, after which the new value
@@ -29,14 +29,14 @@ def counter_increase(samples: DataFrame, labels: Sequence[str], seconds: int = 3
     rows = rows.withColumn("__inc", grown).drop("__prev")
     w = Window.partitionBy(*labels, "block").orderBy("us").rangeBetween(-(reach - 1), 0)
     return (
-        with_halo(rows, F.col("us"), reach, max(width, reach))
+        with_halo(rows, F.col("us"), reach, max(width, reach), trailing=True)
         .withColumn("increase", F.sum("__inc").over(w))
         .where("is_home")
         .drop("__inc", "block", "is_home")
     )
 
 
-def counter_rate(samples: DataFrame, labels: Sequence[str], seconds: int = 300, *, width: int = HOUR_US) -> DataFrame:
+def counter_rate(samples: DataFrame, labels: Sequence[str], seconds: int = 300, *, width: int = TIME_BLOCK_US) -> DataFrame:
     """L2: :func:`counter_increase` per second."""
     rows = counter_increase(samples, labels, seconds, width=width)
     return rows.withColumn("rate", F.col("increase") / F.lit(float(seconds)))
@@ -80,7 +80,7 @@ ALERT_RULES = (
 )
 
 
-def alert_for(series: DataFrame, keys: Sequence[str], predicate: Column, seconds: int, *, width: int = HOUR_US) -> DataFrame:
+def alert_for(series: DataFrame, keys: Sequence[str], predicate: Column, seconds: int, *, width: int = TIME_BLOCK_US) -> DataFrame:
     """Periods in which every sample met ``predicate`` for at least ``seconds``.
 
     ``series(*keys, us, event_id, ...)``.  Samples are numbered, and unbroken numbers that

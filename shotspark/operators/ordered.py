@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 #: Positions (frames, chunk indexes) per block.
 BLOCK = 65_536
-#: Block width for axes in microseconds: one hour.
+#: Block width for axes in microseconds: ten seconds.  A year is about three million blocks,
+#: which one per-key window over block summaries still takes easily, while a stream that
+#: receives a large share of all rows within an hour is cut into hundreds of parts.
+TIME_BLOCK_US = 10_000_000
+#: One hour, for axes with few rows.
 HOUR_US = 3_600_000_000
 
 _BLK = "__block"
@@ -247,12 +251,13 @@ def locate(
     )
 
 
-def with_halo(df: DataFrame, position: Column, reach: int, width: int) -> DataFrame:
+def with_halo(df: DataFrame, position: Column, reach: int, width: int, *, trailing: bool = False) -> DataFrame:
     """Copy rows within ``reach`` of a block edge to the neighbouring block.
 
     Adds ``block`` and ``is_home``.  A window over ``(key, block)`` then sees every
     neighbour of its home rows that lies within ``reach`` (``reach`` must not exceed
-    ``width``); keep only ``is_home`` rows afterwards.
+    ``width``); keep only ``is_home`` rows afterwards.  With ``trailing`` a window looks
+    back only, and rows are copied to the following block alone.
     """
     step = F.lit(width).cast("bigint")
     home = block_start(position, width)
@@ -260,7 +265,7 @@ def with_halo(df: DataFrame, position: Column, reach: int, width: int) -> DataFr
     blocks = F.array_compact(
         F.array(
             home,
-            F.when((offset < reach) & (home > 0), home - step),
+            F.lit(None).cast("bigint") if trailing else F.when(offset < reach, home - step),
             F.when(offset >= width - reach, home + step),
         )
     )

@@ -189,3 +189,21 @@ def test_score_hook_pads_and_averages(spark):
     raw = detect.score_frames(frames, fn, v, window=10, overlap=4)
     got = {r.frame: (r.boundary_p, r.transition_p) for r in detect.average_window_scores(raw).collect()}
     assert len(got) == 25 and got[7] == (0.07, (9 + 15) / 2) and got[24] == (0.24, 24.0)
+
+
+def test_similarity_over_sparse_frames(spark):
+    """Blocks without frames of their own, missing neighbours, and a brute-force comparison."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    frames = [0, 1, 2, 9, 10, 14, 29, 30]
+    vectors = {f: rnd.random(6) for f in frames}
+    df = spark.createDataFrame([(1, f, v.tolist()) for f, v in vectors.items()], "video_id BIGINT, frame BIGINT, embedding ARRAY<DOUBLE>")
+    got = {r.frame: r.similarity for r in detect.banded_similarity(df, 7, block=4).collect()}
+    assert sorted(got) == frames
+    unit = {f: v / np.linalg.norm(v) for f, v in vectors.items()}
+    for f in frames:
+        want = [float(unit[f] @ unit[f + k]) if f + k in unit else 0.0 for k in range(-3, 4)]
+        assert np.allclose(got[f], want)
+    with pytest.raises(ValueError):
+        detect.banded_similarity(df, 6)
