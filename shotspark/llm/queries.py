@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import neighbours
+from shotspark.llm import neighbours, packing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,28 @@ def op1_nearest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pack_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a video, a token a frame."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    scenes = tokens.scenes_of_texts(
+        documents.select(F.col("doc_id").alias("key"), "text"), public_tokenizers.path(VOCABULARY), END_ID
+    )
+    return packing.pack_scenes(scenes).select(
+        F.col("key").alias("doc_id"), F.col("start_frame").alias("start"),
+        (F.col("end_frame") - F.col("start_frame") + 1).alias("length"), "ids_crc32", "doc_tokens",
+        F.col("window_id").alias("sequence_id"), F.col("window_offset").alias("offset"),
+    )
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
+#: Vocabulary of op2 and the id that ends a document.
+VOCABULARY, END_ID = "word_bpe_49k.json", 1
 
-QUERIES = {"op1_nearest_frames": op1_nearest_frames}
+QUERIES = {"op1_nearest_frames": op1_nearest_frames, "op2_pack_scenes": op2_pack_scenes}
 ORACLE: dict[str, str] = {}
