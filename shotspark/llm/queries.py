@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import neighbours, packing, tokens
+from shotspark.llm import neighbours, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,21 @@ def packed(documents: DataFrame) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Whether a document's label stays unseen while learning."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality")
+    scored = quality.score_payloads(table(spark, sf_dir, "documents"), labels, key="doc_id", text="text")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 
-QUERIES = {"op1_nearest_frames": op1_nearest_frames, "op2_pack_scenes": op2_pack_scenes}
+QUERIES = {"op1_nearest_frames": op1_nearest_frames, "op2_pack_scenes": op2_pack_scenes, "op3_score_quality": op3_score_quality}
 ORACLE: dict[str, str] = {}
