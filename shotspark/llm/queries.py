@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import neighbours, packing, quality, tokens
+from shotspark.llm import html, neighbours, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,19 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 
-QUERIES = {"op1_nearest_frames": op1_nearest_frames, "op2_pack_scenes": op2_pack_scenes, "op3_score_quality": op3_score_quality}
+QUERIES = {
+    "op1_nearest_frames": op1_nearest_frames,
+    "op2_pack_scenes": op2_pack_scenes,
+    "op3_score_quality": op3_score_quality,
+    "op4_main_text": op4_main_text,
+}
 ORACLE: dict[str, str] = {}
