@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import html, neighbours, packing, quality, tokens
+from shotspark.llm import html, licences, neighbours, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
@@ -66,5 +70,6 @@ QUERIES = {
     "op2_pack_scenes": op2_pack_scenes,
     "op3_score_quality": op3_score_quality,
     "op4_main_text": op4_main_text,
+    "op6_scan_licences": op6_scan_licences,
 }
 ORACLE: dict[str, str] = {}
