@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import html, licences, neighbours, packing, quality, tokens
+from shotspark.llm import html, licences, neighbours, packing, personal, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,17 @@ def op6_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
+def op10_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.withColumn("base", base).select(
+        "doc_id", *(number(kind).alias(f"n_{kind}") for kind in personal.BASE),
+        F.sha2(personal.spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        personal.spelt(F.col("spans")).alias("spans"),
+    )
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
@@ -71,5 +82,6 @@ QUERIES = {
     "op3_score_quality": op3_score_quality,
     "op4_main_text": op4_main_text,
     "op6_scan_licences": op6_scan_licences,
+    "op10_find_personal_data": op10_find_personal_data,
 }
 ORACLE: dict[str, str] = {}
