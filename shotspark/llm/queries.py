@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import html, licences, near, neighbours, packing, personal, quality, tokens
+from shotspark.llm import archives, html, licences, near, neighbours, packing, personal, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op6_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
+def op8_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find_near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_score_quality": op3_score_quality,
     "op4_main_text": op4_main_text,
     "op6_scan_licences": op6_scan_licences,
+    "op8_archive_pages": op8_archive_pages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_find_personal_data": op10_find_personal_data,
 }
