@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import archives, html, licences, near, neighbours, packing, personal, quality, tokens
+from shotspark.llm import archives, html, leaks, licences, near, neighbours, packing, personal, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item that it contains."""
+    return leaks.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), key="doc_id", text="text"
+    )
+
+
 def op6_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op2_pack_scenes": op2_pack_scenes,
     "op3_score_quality": op3_score_quality,
     "op4_main_text": op4_main_text,
+    "op5_find_leaks": op5_find_leaks,
     "op6_scan_licences": op6_scan_licences,
     "op8_archive_pages": op8_archive_pages,
     "op9_near_duplicates": op9_near_duplicates,
