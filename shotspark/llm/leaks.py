@@ -180,6 +180,17 @@ class Items:
         return [(number, item, edits) for (number, item), edits in found.items()]
 
 
+def _item_blocks(items: DataFrame, item_key: str, item_text: str, block_items: int) -> tuple[DataFrame, int]:
+    items = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("item_words")).distinct()
+    return items, max(1, math.ceil(items.count() / block_items))
+
+
+def _index(items: DataFrame, blocks: int, block: int, *settings) -> Items:
+    """The items of one block, of a size that does not depend on the corpus."""
+    own = items.filter(F.pmod(F.xxhash64("item", "item_words"), F.lit(blocks)) == block).orderBy("item", "item_words")
+    return Items([tuple(r) for r in own.collect()], *settings)
+
+
 def find_leaks(
     records: DataFrame, items: DataFrame, key: str = "source_event_id", text: str = "payload",
     item_key: str = "item_id", item_text: str = "text", similarity: float = 0.75, anchors: int = 8,
@@ -199,8 +210,7 @@ def find_leaks(
     rows give repeated pairs, repeated items count once; further columns are ignored.  Items
     travel with the tasks in blocks of ``block_items``, one pass over the texts for each.
     """
-    items = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("item_words")).distinct()
-    blocks = max(1, math.ceil(items.count() / block_items))
+    items, blocks = _item_blocks(items, item_key, item_text, block_items)
     record_kind, item_kind = records.schema[key].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     item_type = to_arrow_type(items.schema["item"].dataType)
     schema = f"record {record_kind}, item {item_kind}, {FOUND}"
@@ -208,8 +218,7 @@ def find_leaks(
     plain = records.select(F.col(key).alias("record"), F.col(text).cast("string").alias("text"))
 
     def passing(block: int) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("item", "item_words"), F.lit(blocks)) == block).orderBy("item", "item_words")
-        index = Items([tuple(r) for r in own.collect()], similarity, anchors, least_words, Walks(walks, keys, sampled))
+        index = _index(items, blocks, block, similarity, anchors, least_words, Walks(walks, keys, sampled))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, "text"):
@@ -235,3 +244,25 @@ def find_leaks(
     for block in range(1, blocks):
         found = durable(found.unionByName(passing(block)))
     return found.withColumnsRenamed({"record": key, "item": item_key})
+
+
+def drop_leaks(
+    records: DataFrame, items: DataFrame, text: str = "payload", item_key: str = "item_id", item_text: str = "text",
+    similarity: float = 0.75, anchors: int = 8, walks: int = 3, keys: int = 16, sampled: int = 3,
+    least_words: int = 5, block_items: int = 20_000,
+) -> DataFrame:
+    """The records, with all their columns, in which :func:`find_leaks` finds no item."""
+    items, blocks = _item_blocks(items, item_key, item_text, block_items)
+    for block in range(blocks):
+        index = _index(items, blocks, block, similarity, anchors, least_words, Walks(walks, keys, sampled))
+
+        def clean(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, text):
+                keep = np.ones(batch.num_rows, bool)
+                if index.ids:
+                    found = index.search([t or "" for t in batch.column(text).to_pylist()])
+                    keep[[number for number, _, _ in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        records = records.mapInArrow(clean, records.schema)
+    return records

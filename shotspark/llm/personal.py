@@ -129,8 +129,8 @@ def votes(kind: str, span: Column) -> list[Column]:
     return [c.cast("int") for c in (shape, check, gazetteer, context, ~inside)]
 
 
-def candidates(records: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per record, with all candidate spans and their votes; texts are read whole, once."""
+def candidates(records: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Columns ``keep`` and ``spans``: all candidate spans and their votes; texts are read whole."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     columns = []
     for kind in KINDS:
@@ -139,8 +139,9 @@ def candidates(records: DataFrame, key: str, text: str) -> DataFrame:
             spans = F.when(F.contains(F.col("_text"), F.lit(HINTS[kind])), spans).otherwise(
                 F.array().cast(f"array<{SPAN}>")
             )
-        columns.append(spans.alias(kind))
-    found = records.select(F.col(key), whole.alias("_text")).select(F.col(key), *columns)
+        columns.append(spans.alias(f"_{kind}"))
+    own = [F.col(f"`{c}`") for c in keep]
+    found = records.select(*own, whole.alias("_text")).select(*own, *columns)
 
     def judged(kind: str) -> Column:
         def one(span: Column) -> Column:
@@ -152,9 +153,9 @@ def candidates(records: DataFrame, key: str, text: str) -> DataFrame:
                 *(v.alias(name) for v, name in zip(cast, LABELERS, strict=True)),
             )
 
-        return F.transform(F.col(kind), one)
+        return F.transform(F.col(f"_{kind}"), one)
 
-    return found.select(F.col(key), F.concat(*(judged(kind) for kind in KINDS)).alias("spans"))
+    return found.select(*own, F.concat(*(judged(kind) for kind in KINDS)).alias("_spans"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple, int]], rounds: int = 60) -> tuple[list[float], list[tuple[float, float]]]:
@@ -234,25 +235,53 @@ def find_personal_data(records: DataFrame, key: str = "source_event_id", text: s
     by kind, then start.  Null and empty texts give no spans; repeated rows give repeated
     rows; further columns are ignored.
     """
-    found = durable(candidates(records, key, text))
-    spread = found.select(F.explode("spans").alias("s")).select("s.kind", "s.size", *(f"s.{x}" for x in LABELERS))
+    found = durable(candidates(records, [key], text))
+    return _decided(found, [key], learnt(found)).select(F.col(key), F.col("_spans").alias("spans"))
+
+
+def learnt(found: DataFrame) -> list[float]:
+    """Classifier weights from the vote patterns of all candidates."""
+    spread = found.select(F.explode("_spans").alias("s")).select("s.kind", "s.size", *(f"s.{x}" for x in LABELERS))
     # As many rows as vote patterns: kinds x sizes x 3^labelers at most.
     counted = spread.groupBy("kind", "size", *LABELERS).count().orderBy("kind", "size", *LABELERS).collect()
-    weights = train_classifier([(r["kind"], r["size"], tuple(r[x] for x in LABELERS), r["count"]) for r in counted])
-    base = F.filter("spans", lambda s: s["base"])
+    return train_classifier([(r["kind"], r["size"], tuple(r[x] for x in LABELERS), r["count"]) for r in counted])
+
+
+def _decided(found: DataFrame, keep: list[str], weights: list[float]) -> DataFrame:
+    """Candidates turned into the final spans, ordered by kind and start."""
+    base = F.filter("_spans", lambda s: s["base"])
     added = F.filter(
-        "spans",
+        "_spans",
         lambda s: ~s["base"] & _believed(s, weights)
-        & ~F.exists(F.col("kept"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+        & ~F.exists(F.col("_base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
     named = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(
-        F.transform(F.concat("kept", added), lambda s: F.struct(s["kind"].alias("at"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base")))
+    bare = lambda s: F.struct(
+        s["kind"].alias("at"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base")
     )
+    ordered = F.array_sort(F.transform(F.concat("_base", added), bare))
     spans = F.transform(
-        ordered, lambda s: F.struct(F.element_at(named, s["at"] + 1).alias("kind"), s["start"], s["stop"], s["base"])
-    )
-    return found.withColumn("kept", base).select(F.col(key), spans.alias("spans"))
+        ordered,
+        lambda s: F.struct(
+            F.element_at(named, s["at"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
+            s["base"].alias("base"),
+        ),
+    )
+    own = [F.col(f"`{c}`") for c in keep]
+    return found.withColumn("_base", base).select(*own, spans.alias("_spans"))
+
+
+def mask_personal_data(records: DataFrame, text: str = "payload") -> DataFrame:
+    """The records, with all their columns, with every span of their text replaced by its kind.
+
+    Reliabilities are learnt in one pass and texts masked where they lie in a second; a null
+    text stays null.
+    """
+    weights = learnt(candidates(records, [], text))
+    columns = records.columns
+    found = _decided(candidates(records, columns, text), columns, weights)
+    changed = F.when(F.size("_spans") > 0, masked(F.col(f"`{text}`").cast("string"), F.col("_spans"))).otherwise(F.col(f"`{text}`"))
+    return found.withColumn(text, changed).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def spelt(spans: Column) -> Column:
