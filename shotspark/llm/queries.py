@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import archives, html, leaks, licences, near, neighbours, packing, personal, quality, tokens
+from shotspark.llm import archives, html, leaks, licences, near, neighbours, packing, passages, personal, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op6_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
+def op7_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated_passages(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def op8_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_find_leaks": op5_find_leaks,
     "op6_scan_licences": op6_scan_licences,
+    "op7_remove_passages": op7_remove_passages,
     "op8_archive_pages": op8_archive_pages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_find_personal_data": op10_find_personal_data,
