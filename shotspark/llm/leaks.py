@@ -150,7 +150,8 @@ class Items:
             hits = [i for i, w in enumerate(words) if w in known]
             if not hits:
                 continue
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            starts = np.cumsum(sizes) - sizes
             plain[number] = " ".join(words)
             seen = set()
             for i in hits:
@@ -194,7 +195,7 @@ def _index(items: DataFrame, blocks: int, block: int, *settings) -> Items:
 def find_leaks(
     records: DataFrame, items: DataFrame, key: str = "source_event_id", text: str = "payload",
     item_key: str = "item_id", item_text: str = "text", similarity: float = 0.75, anchors: int = 8,
-    walks: int = 3, keys: int = 16, sampled: int = 3, least_words: int = 5, block_items: int = 20_000,
+    walks: int = 3, keys: int = 32, sampled: int = 4, least_words: int = 5, block_items: int = 20_000,
 ) -> DataFrame:
     """Pairs of a record and a benchmark item that its text contains, edits allowed.
 
@@ -248,7 +249,7 @@ def find_leaks(
 
 def drop_leaks(
     records: DataFrame, items: DataFrame, text: str = "payload", item_key: str = "item_id", item_text: str = "text",
-    similarity: float = 0.75, anchors: int = 8, walks: int = 3, keys: int = 16, sampled: int = 3,
+    similarity: float = 0.75, anchors: int = 8, walks: int = 3, keys: int = 32, sampled: int = 4,
     least_words: int = 5, block_items: int = 20_000,
 ) -> DataFrame:
     """The records, with all their columns, in which :func:`find_leaks` finds no item."""
