@@ -147,7 +147,7 @@ def build_index(frames: DataFrame, keep: int, shard_rows: int = 8192) -> DataFra
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, factor: float, block_rows: int = 4096) -> DataFrame:
     """The best ``k`` frames of every shard for every query; each (shard, query block) is one group."""
-    queries = _taking_part(queries).withColumn("feature_key", F.xxhash64("video_id", "frame", "feature"))
+    queries = _taking_part(queries).distinct().withColumn("feature_key", F.xxhash64("video_id", "frame", "feature"))
     blocks = max(1, math.ceil(queries.count() / block_rows))
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     asked = (

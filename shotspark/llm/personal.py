@@ -130,18 +130,21 @@ def votes(kind: str, span: Column) -> list[Column]:
 
 
 def candidates(records: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Columns ``keep`` and ``spans``: all candidate spans and their votes; texts are read whole."""
+    """``kept``, a struct of the columns to keep, and ``spans``: all candidate spans with their votes.
+
+    Texts are read whole.
+    """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     columns = []
     for kind in KINDS:
-        spans = marked_spans(F.col("_text"), PATTERNS[kind])
+        spans = marked_spans(F.col("text"), PATTERNS[kind])
         if kind in HINTS:
-            spans = F.when(F.contains(F.col("_text"), F.lit(HINTS[kind])), spans).otherwise(
+            spans = F.when(F.contains(F.col("text"), F.lit(HINTS[kind])), spans).otherwise(
                 F.array().cast(f"array<{SPAN}>")
             )
-        columns.append(spans.alias(f"_{kind}"))
-    own = [F.col(f"`{c}`") for c in keep]
-    found = records.select(*own, whole.alias("_text")).select(*own, *columns)
+        columns.append(spans.alias(kind))
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    found = records.select(kept.alias("kept"), whole.alias("text")).select("kept", *columns)
 
     def judged(kind: str) -> Column:
         def one(span: Column) -> Column:
@@ -153,9 +156,9 @@ def candidates(records: DataFrame, keep: list[str], text: str) -> DataFrame:
                 *(v.alias(name) for v, name in zip(cast, LABELERS, strict=True)),
             )
 
-        return F.transform(F.col(f"_{kind}"), one)
+        return F.transform(F.col(kind), one)
 
-    return found.select(*own, F.concat(*(judged(kind) for kind in KINDS)).alias("_spans"))
+    return found.select("kept", F.concat(*(judged(kind) for kind in KINDS)).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple, int]], rounds: int = 60) -> tuple[list[float], list[tuple[float, float]]]:
@@ -236,30 +239,30 @@ def find_personal_data(records: DataFrame, key: str = "source_event_id", text: s
     rows; further columns are ignored.
     """
     found = durable(candidates(records, [key], text))
-    return _decided(found, [key], learnt(found)).select(F.col(key), F.col("_spans").alias("spans"))
+    return _decided(found, learnt(found)).select(F.col(f"kept.`{key}`").alias(key), "spans")
 
 
 def learnt(found: DataFrame) -> list[float]:
     """Classifier weights from the vote patterns of all candidates."""
-    spread = found.select(F.explode("_spans").alias("s")).select("s.kind", "s.size", *(f"s.{x}" for x in LABELERS))
+    spread = found.select(F.explode("spans").alias("s")).select("s.kind", "s.size", *(f"s.{x}" for x in LABELERS))
     # As many rows as vote patterns: kinds x sizes x 3^labelers at most.
     counted = spread.groupBy("kind", "size", *LABELERS).count().orderBy("kind", "size", *LABELERS).collect()
     return train_classifier([(r["kind"], r["size"], tuple(r[x] for x in LABELERS), r["count"]) for r in counted])
 
 
-def _decided(found: DataFrame, keep: list[str], weights: list[float]) -> DataFrame:
+def _decided(found: DataFrame, weights: list[float]) -> DataFrame:
     """Candidates turned into the final spans, ordered by kind and start."""
-    base = F.filter("_spans", lambda s: s["base"])
+    base = F.filter("spans", lambda s: s["base"])
     added = F.filter(
-        "_spans",
+        "spans",
         lambda s: ~s["base"] & _believed(s, weights)
-        & ~F.exists(F.col("_base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+        & ~F.exists(F.col("base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
     named = F.array(*map(F.lit, KINDS))
     bare = lambda s: F.struct(
         s["kind"].alias("at"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base")
     )
-    ordered = F.array_sort(F.transform(F.concat("_base", added), bare))
+    ordered = F.array_sort(F.transform(F.concat("base", added), bare))
     spans = F.transform(
         ordered,
         lambda s: F.struct(
@@ -267,8 +270,7 @@ def _decided(found: DataFrame, keep: list[str], weights: list[float]) -> DataFra
             s["base"].alias("base"),
         ),
     )
-    own = [F.col(f"`{c}`") for c in keep]
-    return found.withColumn("_base", base).select(*own, spans.alias("_spans"))
+    return found.withColumn("base", base).select("kept", spans.alias("spans"))
 
 
 def mask_personal_data(records: DataFrame, text: str = "payload") -> DataFrame:
@@ -278,10 +280,12 @@ def mask_personal_data(records: DataFrame, text: str = "payload") -> DataFrame:
     text stays null.
     """
     weights = learnt(candidates(records, [], text))
-    columns = records.columns
-    found = _decided(candidates(records, columns, text), columns, weights)
-    changed = F.when(F.size("_spans") > 0, masked(F.col(f"`{text}`").cast("string"), F.col("_spans"))).otherwise(F.col(f"`{text}`"))
-    return found.withColumn(text, changed).select(*(F.col(f"`{c}`") for c in columns))
+    found = _decided(candidates(records, records.columns, text), weights)
+    old = F.col(f"kept.`{text}`")
+    changed = F.when(F.size("spans") > 0, masked(old.cast("string"), F.col("spans"))).otherwise(old)
+    return found.select(
+        *(changed.alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in records.columns)
+    )
 
 
 def spelt(spans: Column) -> Column:

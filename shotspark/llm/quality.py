@@ -97,12 +97,11 @@ def fit_preferences(
         .limit(sample_rows)
         .collect()
     )
-    x = np.array([r.features for r in rows], dtype=np.float64).reshape(len(rows), -1)
     y = np.array([r.label for r in rows], dtype=np.int64)
-    size = x.shape[1] or len(FEATURES)
-    zero = (0.0,) * size
     if not (y == 1).any() or not (y == 0).any():
-        return Preference(zero, (1.0,) * size, zero, 0.0)
+        zero = (0.0,) * len(FEATURES)
+        return Preference(zero, (1.0,) * len(FEATURES), zero, 0.0)
+    x = np.array([r.features for r in rows], dtype=np.float64)
     centre, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0
     z = np.clip((x - centre) / scale, -50, 50)
@@ -112,11 +111,11 @@ def fit_preferences(
         [np.repeat(good, opponents, axis=0) - bad[draw.integers(0, len(bad), len(good) * opponents)],
          good[draw.integers(0, len(good), len(bad) * opponents)] - np.repeat(bad, opponents, axis=0)]
     )
-    w = np.zeros(size)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(np.clip(gaps @ w, -50, 50)))
         slope = gaps.T @ p / len(gaps) - penalty * w
-        bend = (gaps * (p * (1 - p))[:, None]).T @ gaps / len(gaps) + penalty * np.eye(size)
+        bend = (gaps * (p * (1 - p))[:, None]).T @ gaps / len(gaps) + penalty * np.eye(x.shape[1])
         step = np.linalg.solve(bend, slope)
         w = w + step
         if np.abs(step).max() < 1e-8:

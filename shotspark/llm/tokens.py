@@ -63,7 +63,8 @@ class Ids(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        plain = PLAIN.fullmatch(text) if len(text) < 100 else None
+        # The vocabulary lower-cases letter by letter, str.lower() ends words with another sigma.
+        plain = PLAIN.fullmatch(text) if len(text) < 100 and "\u03a3" not in text else None
         if plain and (text.isascii() or unicodedata.is_normalized("NFC", text)):
             ids = self._part(plain[1].lower())
             if plain[2]:
