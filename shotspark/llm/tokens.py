@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.llm.packing import cut_points
+from shotspark.llm.texts import small_batches
 
 PIECES = (
     "key bigint, video_id string, scene_no bigint, start_frame bigint, end_frame bigint, "
@@ -34,14 +35,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids(dict):
-    """Little-endian uint32 ids of a chunk between ASCII white space; a bounded cache.
+    """Little-endian uint32 ids of a chunk between ASCII white space, with a bounded cache.
+
+    The first ``limit`` chunks and words stay, which the frequent ones are among.
 
     The vocabulary drops white space and never merges across it, so the ids of a text are
     those of its chunks in order.  Plain words go to the merge model directly, everything
     else through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -56,9 +59,8 @@ class Ids(dict):
         if ids is None:
             spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             ids = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            self.parts[word] = ids
+            if len(self.parts) < self.limit:
+                self.parts[word] = ids
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -71,9 +73,7 @@ class Ids(dict):
                 ids += self._part(plain[2])
         else:
             ids = array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(chunk) < 100:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(chunk) < 100 and len(self) < self.limit:
             self[chunk] = ids
         return ids
 
@@ -100,7 +100,7 @@ def scenes_of_texts(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
         last = array.array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             rows: list[tuple] = []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 own = ids.of(text.as_py() or b"") + last
