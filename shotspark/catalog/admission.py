@@ -31,8 +31,8 @@ SELECT *, coalesce(NOT is_dir AND NOT sys, false) AND
     row_number() OVER (PARTITION BY archive_id, name, NOT is_dir AND NOT sys ORDER BY ord) > 1 AS is_duplicate FROM named"""
 REPORT = f"""
 SELECT *, reason IS NULL AS accepted FROM (SELECT archive_id, ord, filename, name, file_size,
-    CASE WHEN name IS NULL THEN 'Unsafe path in ZIP archive' WHEN sys THEN 'system metadata file' WHEN is_duplicate THEN 'duplicate archive entry'
-    WHEN {SUFFIX.format(f='name')} NOT IN {GOOD} THEN concat('Unsupported video extension ''',
+    CASE WHEN name IS NULL THEN 'unsafe member path' WHEN sys THEN 'system file' WHEN is_duplicate THEN 'repeated member'
+    WHEN {SUFFIX.format(f='name')} NOT IN {GOOD} THEN concat('suffix not allowed: ''',
         CASE WHEN {SUFFIX.format(f='name')} = '' THEN '<none>' ELSE {SUFFIX.format(f='name')} END, '''') END AS reason
     FROM marked WHERE NOT is_dir) q"""
 ARCHIVES = {"named": NAMED, "marked": MARKED, "report": REPORT}
@@ -43,15 +43,16 @@ MIME = """CASE ord % 7 WHEN 0 THEN 'audio/mpeg' WHEN 1 THEN 'Video/MP4' WHEN 2 T
 
 def admit_filename(spark, d):
     m = fx.manifest(spark, d).withColumn("mime", F.expr(MIME))
-    return m.select("ord", paths.admit_filename(F.col("filename"), F.col("mime")).alias("reason"))
+    name = F.when(F.col("ord") % 11 != 4, F.col("filename"))
+    return m.select("ord", paths.admit_filename(name, F.col("mime")).alias("reason"))
 
 
 QUERIES["admit_filename"] = admit_filename
 ORACLE["admit_filename"] = with_views(
-    f"""SELECT ord, CASE WHEN m LIKE 'audio/%' THEN 'Audio-only files are not accepted'
-    WHEN s NOT IN {GOOD} THEN concat('Unsupported video extension ''', CASE WHEN s = '' THEN '<none>' ELSE s END, '''')
-    WHEN m <> '' AND m NOT LIKE 'video/%' AND m <> 'application/octet-stream' THEN concat('Unsupported content type ''', m, '''') END AS reason
-    FROM (SELECT ord, {SUFFIX.format(f='filename')} AS s, lower(coalesce({MIME}, '')) AS m FROM manifest) q""",
+    f"""SELECT ord, CASE WHEN m LIKE 'audio/%' THEN 'audio only'
+    WHEN s NOT IN {GOOD} THEN concat('suffix not allowed: ''', CASE WHEN s = '' THEN '<none>' ELSE s END, '''')
+    WHEN m <> '' AND m NOT LIKE 'video/%' AND m <> 'application/octet-stream' THEN concat('content type not allowed: ''', m, '''') END AS reason
+    FROM (SELECT ord, CASE WHEN ord % 11 = 4 THEN '' ELSE {SUFFIX.format(f='filename')} END AS s, lower(coalesce({MIME}, '')) AS m FROM manifest) q""",
     "manifest",
 )
 
@@ -59,15 +60,16 @@ ORACLE["admit_filename"] = with_views(
 def admit_archive(spark, d):
     m = fx.manifest(spark, d).withColumn("mime", F.expr(MIME))
     name = F.when(F.col("ord") % 2 == 0, F.regexp_replace("filename", r"\.[^.]*$", ".ZIP")).otherwise(F.col("filename"))
+    name = F.when(F.col("ord") % 11 != 4, name)
     return m.select("ord", paths.admit_archive(name, F.col("mime")).alias("reason"))
 
 
 QUERIES["admit_archive"] = admit_archive
 ORACLE["admit_archive"] = with_views(
-    f"""SELECT ord, CASE WHEN s <> '.zip' THEN 'Only ZIP archives are accepted'
-    WHEN m NOT IN ('', 'application/octet-stream', 'application/x-zip-compressed', 'application/zip') THEN concat('Unsupported content type ''', m, '''') END AS reason
+    f"""SELECT ord, CASE WHEN s <> '.zip' THEN 'not a zip archive'
+    WHEN m NOT IN ('', 'application/octet-stream', 'application/x-zip-compressed', 'application/zip') THEN concat('content type not allowed: ''', m, '''') END AS reason
     FROM (SELECT ord, {SUFFIX.format(f='n')} AS s, lower(coalesce({MIME}, '')) AS m FROM (
-        SELECT ord, CASE WHEN ord % 2 = 0 THEN regexp_replace(filename, '\\.[^.]*$', '.ZIP') ELSE filename END AS n FROM manifest) p) q""",
+        SELECT ord, CASE WHEN ord % 11 = 4 THEN '' WHEN ord % 2 = 0 THEN regexp_replace(filename, '\\.[^.]*$', '.ZIP') ELSE filename END AS n FROM manifest) p) q""",
     "manifest",
 )
 
@@ -205,7 +207,7 @@ SELECT page_id, CASE WHEN page_id % 9 = 4 OR NOT regexp_matches(url, '^https?://
 FROM pages LEFT JOIN r ON r.host = regexp_extract(url, '^[a-z]+://([^/:]+)', 1)"""
 
 #: Label selections as users might send them, one per event.
-RAW_CLASSES = """CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN concat('["view"," ', event_type, ' "]')
+RAW_CLASSES = """CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN concat('["view"," ', event_type, ' ', chr(92), 'n', chr(92), 't"]')
     WHEN 3 THEN '["view","view "]' WHEN 4 THEN concat('["', event_type, '",5]') WHEN 5 THEN '{"a":1}' WHEN 6 THEN '["click",""]'
     WHEN 7 THEN concat('["', event_type, '","zebra","ant"]') ELSE concat('["', event_type, '"') END"""
 LABELS = ["view", "click", "signup", "purchase"]

@@ -32,13 +32,14 @@ def small_plan(spark, d):
 
 
 def effective_chunking(spark, d):
-    return chunks.effective_chunking(fx.videos(spark, d)).select("video_id", "chunk_size", "overlap")
+    v = fx.videos(spark, d).withColumn("width", F.when(F.col("video_id") % 13 == 5, 0).otherwise(F.col("width")))
+    return chunks.effective_chunking(v).select("video_id", "chunk_size", "overlap")
 
 
 QUERIES["effective_chunking"] = effective_chunking
 ORACLE["effective_chunking"] = with_views(
-    """SELECT video_id, CASE WHEN m = 0 THEN NULL WHEN m = 1 THEN 1 ELSE cs END AS chunk_size,
-    CASE WHEN m = 0 THEN NULL WHEN m = 1 THEN 0 ELSE least(ov, cs - 1) END AS overlap FROM (
+    """SELECT video_id, CASE WHEN m = 0 OR video_id % 13 = 5 THEN NULL WHEN m = 1 THEN 1 ELSE cs END AS chunk_size,
+    CASE WHEN m = 0 OR video_id % 13 = 5 THEN NULL WHEN m = 1 THEN 0 ELSE least(ov, cs - 1) END AS overlap FROM (
     SELECT *, greatest(1, least(64, m - ov)) AS cs FROM (
     SELECT *, least(16, m // 4) AS ov FROM (
     SELECT video_id, CAST(83886080 // (width * height * 3) AS BIGINT) AS m FROM videos) a) b) c""",

@@ -128,7 +128,8 @@ ORACLE["rescale_annotations"] = with_views(
 
 
 def letterbox_geometry(spark, d):
-    v = fx.videos(spark, d).withColumn("h2", F.col("height") + F.col("video_id") % 400 - 200)
+    h2 = F.when(F.col("video_id") % 13 == 5, 0).otherwise(F.col("height") + F.col("video_id") % 400 - 200)
+    v = fx.videos(spark, d).withColumn("h2", h2)
     pad = coords.letterbox_geometry(F.col("width"), F.col("h2"))
     return v.select("video_id", pad.alias("p")).select("video_id", "p.pad_x", "p.pad_y")
 
@@ -136,9 +137,9 @@ def letterbox_geometry(spark, d):
 QUERIES["letterbox_geometry"] = letterbox_geometry
 ORACLE["letterbox_geometry"] = with_views(
     """SELECT video_id,
-    CASE WHEN CAST(width AS DOUBLE) / h2 < a THEN CAST(floor((CAST(floor(h2 * a) AS BIGINT) - width) / 2.0) AS BIGINT) ELSE 0 END AS pad_x,
-    CASE WHEN CAST(width AS DOUBLE) / h2 > a THEN CAST(floor((CAST(floor(width / a) AS BIGINT) - h2) / 2.0) AS BIGINT) ELSE 0 END AS pad_y
-    FROM (SELECT *, height + video_id % 400 - 200 AS h2, CAST(48 AS DOUBLE) / 27 AS a FROM videos) q""",
+    CASE WHEN h2 IS NULL THEN NULL WHEN CAST(width AS DOUBLE) / h2 < a THEN CAST(floor((CAST(floor(h2 * a) AS BIGINT) - width) / 2.0) AS BIGINT) ELSE 0 END AS pad_x,
+    CASE WHEN h2 IS NULL THEN NULL WHEN CAST(width AS DOUBLE) / h2 > a THEN CAST(floor((CAST(floor(width / a) AS BIGINT) - h2) / 2.0) AS BIGINT) ELSE 0 END AS pad_y
+    FROM (SELECT *, CASE WHEN video_id % 13 <> 5 THEN height + video_id % 400 - 200 END AS h2, CAST(48 AS DOUBLE) / 27 AS a FROM videos) q""",
     "videos",
 )
 
@@ -147,14 +148,14 @@ def normalise_bbox(spark, d):
     from shotspark.functions import boxes
 
     clipped = boxes.clip_boxes(fx.detections(spark, d), F.lit(1280), F.lit(720))
-    n = coords.normalise_bbox(*[F.col(c) for c in ("x", "y", "width", "height")], F.lit(1280.0), F.lit(720.0))
+    n = coords.normalise_bbox(*[F.col(c) for c in ("x", "y", "width", "height")], F.when(F.col("frame") % 13 != 5, 1280.0).otherwise(0.0), F.lit(720.0))
     return clipped.select("video_id", "frame", "det_idx", n.alias("n")).select("video_id", "frame", "det_idx", "n.*")
 
 
 QUERIES["normalise_bbox"] = normalise_bbox
 ORACLE["normalise_bbox"] = with_views(
-    """SELECT video_id, frame, det_idx, x1 / 1280.0::DOUBLE AS x, y1 / 720.0::DOUBLE AS y,
-    (x2 - x1) / 1280.0::DOUBLE AS w, (y2 - y1) / 720.0::DOUBLE AS h FROM detections""",
+    """SELECT video_id, frame, det_idx, CASE WHEN frame % 13 <> 5 THEN x1 / 1280.0::DOUBLE END AS x, y1 / 720.0::DOUBLE AS y,
+    CASE WHEN frame % 13 <> 5 THEN (x2 - x1) / 1280.0::DOUBLE END AS w, (y2 - y1) / 720.0::DOUBLE AS h FROM detections""",
     "detections",
 )
 

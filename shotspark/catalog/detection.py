@@ -152,14 +152,16 @@ ORACLE["transitions_from_ranges"] = with_views(
 
 
 def transitions_from_scene_scores(spark, d):
+    """Some gaps have no score at all."""
     scores = fx.frame_scores(spark, d).select("video_id", "frame", F.col("boundary_p").alias("score"))
+    scores = scores.where("frame div 64 % 3 <> 1")
     return detect.transitions_from_scene_scores(_shots(spark, d), scores, digits=None)
 
 
 QUERIES["transitions_from_scene_scores"] = transitions_from_scene_scores
 ORACLE["transitions_from_scene_scores"] = with_views(
-    """SELECT p.video_id, p.type, p.start_frame, p.end_frame, max(s.boundary_p) AS confidence FROM pairs p JOIN frame_scores s
-    ON s.video_id = p.video_id AND s.frame BETWEEN p.gap_start AND p.end_frame GROUP BY 1, 2, 3, 4""",
+    """SELECT p.video_id, p.type, p.start_frame, p.end_frame, max(s.boundary_p) AS confidence FROM pairs p LEFT JOIN frame_scores s
+    ON s.video_id = p.video_id AND s.frame BETWEEN p.gap_start AND p.end_frame AND s.frame // 64 % 3 <> 1 GROUP BY 1, 2, 3, 4""",
     "frame_scores", shots=SHOTS, pairs=PAIRS,
 )
 

@@ -17,27 +17,23 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def scan_video_files(spark, d):
-    """The table files stand in for videos: same listing, other suffix."""
-    found = files.scan_video_files(spark, d, (".PARQUET",))
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
-QUERIES["scan_video_files"] = scan_video_files
-
-
 def read_envelopes(spark, d):
     e = fx.envelopes(spark, d).drop("task_id")
-    payload = F.when(F.col("event_id") % 14 == 3, F.lit(None)).when(F.col("event_id") % 14 == 4, F.lit("[1, 2]")).otherwise(F.col("payload"))
-    out = env.read_envelopes(e.withColumn("payload", payload), "task_id STRING, props STRUCT<k: BIGINT>", "click")
+    bad = {3: None, 4: "[1, 2]", 5: '{"task_id":"x","props":{"k":"abc"}}', 6: '{"props":{"k":1}}'}
+    payload = F.col("payload")
+    for rest, text in bad.items():
+        payload = F.when(F.col("event_id") % 14 == rest, F.lit(text)).otherwise(payload)
+    schema = "task_id STRING, props STRUCT<k: BIGINT>"
+    out = env.read_envelopes(e.withColumn("payload", payload), schema, "click", ["task_id"])
     return out.select("event_id", "task_id", F.col("props.k").alias("k"), "error")
 
 
 QUERIES["read_envelopes"] = read_envelopes
 ORACLE["read_envelopes"] = """
-SELECT event_id, CASE WHEN event_id % 14 NOT IN (3, 4) THEN CAST(user_id AS VARCHAR) END AS task_id,
-    CASE WHEN event_id % 14 NOT IN (3, 4) THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k,
-    CASE event_id % 14 WHEN 3 THEN 'message does not contain payload' WHEN 4 THEN 'payload is not a JSON object' END AS error
+SELECT event_id, CASE WHEN event_id % 14 NOT IN (3, 4, 5, 6) THEN CAST(user_id AS VARCHAR) END AS task_id,
+    CASE WHEN event_id % 14 NOT IN (3, 4, 5, 6) THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k,
+    CASE event_id % 14 WHEN 3 THEN 'message does not contain payload' WHEN 4 THEN 'payload is not a JSON object'
+        WHEN 5 THEN 'payload does not match the schema' WHEN 6 THEN 'payload lacks task_id' END AS error
 FROM events WHERE event_type = 'click'"""
 
 

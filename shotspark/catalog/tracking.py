@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shotspark import fixtures as fx
@@ -11,7 +12,8 @@ from shotspark.fixtures import with_views
 from shotspark.functions.boxes import iou
 from shotspark.operators import fusion, tracking
 from shotspark.operators import ownership as own
-from shotspark.plans.tracks import track_videos
+from shotspark.operators.tracking import TrackParams
+from shotspark.plans.tracks import number_tracks, raw_tracks, track_videos
 from shotspark.session import durable
 
 QUERIES: dict = {}
@@ -102,14 +104,46 @@ ORACLE["assign_scene"] = with_views(
 
 
 def associate_tracks(spark, d):
-    return track_videos(fx.detections(spark, d), box_scenes(spark, d)).select(
-        "video_id", "scene_no", "frame", "track_id", "detector", "det_idx", "class_name", "conf"
+    return track_videos(fx.detections(spark, d), box_scenes(spark, d), _sizes(spark, d)).select(
+        "video_id", "scene_no", "frame", "track_id", "class_name", "confidence", "x", "y", "width", "height"
     )
 
 
+def _sizes(spark, d):
+    videos = fx.detections(spark, d).select("video_id").distinct()
+    return videos.withColumns({"width": F.lit(1280), "height": F.lit(720)})
+
+
 QUERIES["associate_tracks"] = associate_tracks
 
 
+def track_properties(spark, d):
+    """What every association must keep, counted per video: all counts are 0."""
+    dets = fx.detections(spark, d)
+    raw = durable(raw_tracks(dets, box_scenes(spark, d), TrackParams(), 0.55))
+    track = ["video_id", "scene_no", "segment", "raw_id"]
+    before = F.lag("frame").over(Window.partitionBy(*track).orderBy("frame"))
+    per_box = raw.groupBy("video_id", "frame", "detector", "det_idx").count().where("count > 1")
+    per_frame = raw.groupBy(*track, "frame").count().where("count > 1")
+    gaps = raw.select("video_id", (F.col("frame") - before).alias("gap")).where(F.col("gap") > TrackParams().buffer)
+    numbered = number_tracks(raw, _sizes(spark, d)).groupBy("video_id", "scene_no").agg(
+        (F.max("track_id") + 1 - F.count_distinct("track_id")).alias("n")
+    )
+    named = {"repeated_boxes": per_box, "shared_frames": per_frame, "long_gaps": gaps, "id_holes": numbered.where("n <> 0")}
+    found = dets.select("video_id").distinct()
+    for name, bad in named.items():
+        found = found.join(bad.groupBy("video_id").agg(F.count("*").alias(name)), "video_id", "left")
+    return found.select("video_id", *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in named])
+
+
+QUERIES["track_properties"] = track_properties
+ORACLE["track_properties"] = with_views(
+    """SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS repeated_boxes, CAST(0 AS BIGINT) AS shared_frames, CAST(0 AS BIGINT) AS long_gaps,
+    CAST(0 AS BIGINT) AS id_holes FROM detections""",
+    "detections",
+)
+
+
 def _labelled(spark, d):
     """Boxes with a stand-in raw id, so that numbering can be checked by itself."""
     scenes = tracking.assign_scene(fx.detections(spark, d).where("conf >= 0.5"), box_scenes(spark, d))

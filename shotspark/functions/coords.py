@@ -112,22 +112,26 @@ def rescale_annotations(ann: DataFrame, videos: DataFrame, target_fps: float = 3
 
 
 def letterbox_geometry(width: Column, height: Column, target_width: int = 48, target_height: int = 27) -> Column:
-    """Padding that gives a frame the target's aspect: ``STRUCT<pad_x, pad_y>``."""
+    """Padding that gives a frame the target's aspect: ``STRUCT<pad_x, pad_y>``.
+
+    Both are NULL for a frame without a positive size.
+    """
     aspect = F.lit(target_width / target_height)
-    frame_aspect = width.cast("double") / height.cast("double")
+    frame_aspect = F.when((width > 0) & (height > 0), F.try_divide(width.cast("double"), height.cast("double")))
     pad_y = F.floor((F.floor(width / aspect).cast("bigint") - height) / F.lit(2)).cast("bigint")
     pad_x = F.floor((F.floor(height * aspect).cast("bigint") - width) / F.lit(2)).cast("bigint")
     zero = F.lit(0).cast("bigint")
     return F.struct(
-        F.when(frame_aspect < aspect, pad_x).otherwise(zero).alias("pad_x"),
-        F.when(frame_aspect > aspect, pad_y).otherwise(zero).alias("pad_y"),
+        F.when(frame_aspect < aspect, pad_x).when(frame_aspect >= aspect, zero).alias("pad_x"),
+        F.when(frame_aspect > aspect, pad_y).when(frame_aspect <= aspect, zero).alias("pad_y"),
     )
 
 
 def normalise_bbox(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """Pixel box to fractions of the frame."""
+    """Pixel box to fractions of the frame; NULL where the frame has no size."""
     return F.struct(
-        (x / width).alias("x"), (y / height).alias("y"), (w / width).alias("w"), (h / height).alias("h")
+        F.try_divide(x, width).alias("x"), F.try_divide(y, height).alias("y"),
+        F.try_divide(w, width).alias("w"), F.try_divide(h, height).alias("h"),
     )
 
 

@@ -20,27 +20,27 @@ def suffix(filename: Column) -> Column:
 
 
 def admit_filename(filename: Column, content_type: Column | None = None) -> Column:
-    """B1: NULL if the file may be a video, else the reason."""
+    """B1: NULL if the file may be a video, else the reason; a missing name is an empty one."""
     mime = F.lower(F.coalesce(content_type if content_type is not None else F.lit(""), F.lit("")))
-    ext = suffix(filename)
+    ext = suffix(F.coalesce(filename, F.lit("")))
     return (
-        F.when(F.startswith(mime, F.lit("audio/")), F.lit("Audio-only files are not accepted"))
+        F.when(F.startswith(mime, F.lit("audio/")), F.lit("audio only"))
         .when(
             ~ext.isin(*VIDEO_SUFFIXES),
-            F.concat(F.lit("Unsupported video extension '"), F.when(ext == "", "<none>").otherwise(ext), F.lit("'")),
+            F.concat(F.lit("suffix not allowed: '"), F.when(ext == "", "<none>").otherwise(ext), F.lit("'")),
         )
         .when(
             (mime != "") & ~F.startswith(mime, F.lit("video/")) & (mime != "application/octet-stream"),
-            F.concat(F.lit("Unsupported content type '"), mime, F.lit("'")),
+            F.concat(F.lit("content type not allowed: '"), mime, F.lit("'")),
         )
     )
 
 
 def admit_archive(filename: Column, content_type: Column) -> Column:
-    """B2: NULL for a ZIP upload, else the reason."""
+    """B2: NULL for a ZIP upload, else the reason; a missing name is an empty one."""
     mime = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(suffix(filename) != ".zip", F.lit("Only ZIP archives are accepted")).when(
-        ~mime.isin(*ARCHIVE_TYPES), F.concat(F.lit("Unsupported content type '"), mime, F.lit("'"))
+    return F.when(suffix(F.coalesce(filename, F.lit(""))) != ".zip", F.lit("not a zip archive")).when(
+        ~mime.isin(*ARCHIVE_TYPES), F.concat(F.lit("content type not allowed: '"), mime, F.lit("'"))
     )
 
 

@@ -91,9 +91,9 @@ def manifest_report(manifest: DataFrame) -> DataFrame:
     """Every file of every archive with its verdict and the first reason that applies."""
     marked = mark_duplicate_members(manifest).where(~is_directory())
     reason = F.coalesce(
-        F.when(F.col("name").isNull(), F.lit("Unsafe path in ZIP archive")),
-        F.when(is_system_entry(F.col("name")), F.lit("system metadata file")),
-        F.when(F.col("is_duplicate"), F.lit("duplicate archive entry")),
+        F.when(F.col("name").isNull(), F.lit("unsafe member path")),
+        F.when(is_system_entry(F.col("name")), F.lit("system file")),
+        F.when(F.col("is_duplicate"), F.lit("repeated member")),
         admit_filename(F.col("name")),
     )
     return marked.select(
@@ -199,6 +199,11 @@ def admit_urls(urls: DataFrame, resolved: DataFrame) -> DataFrame:
     return parsed.join(hosts, "host", "left").select(*urls.columns, reason.alias("reason"))
 
 
+def _strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def validate_class_selection(df: DataFrame, raw: str, vocab: Sequence[str]) -> DataFrame:
     """Parse a JSON label list; adds ``classes``, ``class_error`` and ``unknown``.
 
@@ -208,7 +213,7 @@ def validate_class_selection(df: DataFrame, raw: str, vocab: Sequence[str]) -> D
     df = df.withColumn("__items", parsed)
     # try_variant_get would turn a number into text, so the element type is checked too.
     only_text = F.forall("__items", lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
-    names = F.transform("__items", lambda v: F.trim(F.try_variant_get(v, "$", "string")))
+    names = F.transform("__items", lambda v: _strip(F.try_variant_get(v, "$", "string")))
     df = df.withColumn("__text", only_text).withColumn("__names", F.when(F.col("__text"), names))
     unknown = F.array_sort(F.array_except(F.col("__names"), F.array(*[F.lit(v) for v in vocab])))
     error = (

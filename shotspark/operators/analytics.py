@@ -20,7 +20,7 @@ def _us(seconds: Column) -> Column:
 
 def scenes_in_seconds(scenes: DataFrame, videos: DataFrame, default_fps: float | None = None) -> DataFrame:
     """K1: scene bounds in seconds; ``default_fps`` replaces a missing rate."""
-    fps = F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(default_fps).cast("double"))
+    fps = _rate(default_fps)
     return scenes.join(videos.select("video_id", "fps"), "video_id").select(
         "video_id", "scene_no",
         F.try_divide(F.col("start_frame").cast("double"), fps).alias("start"),
@@ -28,16 +28,20 @@ def scenes_in_seconds(scenes: DataFrame, videos: DataFrame, default_fps: float |
     )
 
 
-def cuts_in_seconds(transitions: DataFrame, videos: DataFrame) -> DataFrame:
+def _rate(default_fps: float | None) -> Column:
+    return F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(default_fps).cast("double"))
+
+
+def cuts_in_seconds(transitions: DataFrame, videos: DataFrame, default_fps: float | None = None) -> DataFrame:
     """K2: start and end of every transition; stored timestamps win over frames.
 
-    Needs ``type, frame, timestamp, start_frame, end_frame, start_timestamp, end_timestamp,
+    ``default_fps`` replaces a missing or zero rate; without one the times are NULL.  Needs ``type, frame, timestamp, start_frame, end_frame, start_timestamp, end_timestamp,
     confidence``.
     """
-    fps = F.col("fps")
+    fps = _rate(default_fps)
 
     def seconds(stamp: Column, *frames: Column) -> Column:
-        return F.coalesce(stamp, F.coalesce(*frames, F.lit(0)).cast("double") / fps)
+        return F.coalesce(stamp, F.try_divide(F.coalesce(*frames, F.lit(0)).cast("double"), fps))
 
     gradual = F.col("type") == "gradual_transition"
     hard = seconds(F.col("timestamp"), F.col("frame"))
@@ -50,21 +54,30 @@ def cuts_in_seconds(transitions: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def track_keyframes(tracks: DataFrame, videos: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def track_keyframes(
+    tracks: DataFrame, videos: DataFrame, *, block: int = BLOCK, default_fps: float | None = None,
+    default_size: tuple[int, int] | None = None,
+) -> DataFrame:
     """K3: the boxes of each track in frame order, scaled to the frame: one row per keyframe.
 
     ``k`` numbers the keyframes of a track; rows stay flat because a track may be as long
-    as its scene.  ``videos`` gives ``fps, width, height``.
+    as its scene.  ``videos`` gives ``fps, width, height``; the defaults replace missing or
+    zero ones, and without defaults what they would scale is NULL.
     """
-    v = videos.select("video_id", "fps", F.col("width").alias("__w"), F.col("height").alias("__h"))
+    across, down = default_size or (None, None)
+    v = videos.select(
+        "video_id", _rate(default_fps).alias("__fps"),
+        F.coalesce(F.nullif("width", F.lit(0)), F.lit(across).cast("int")).alias("__w"),
+        F.coalesce(F.nullif("height", F.lit(0)), F.lit(down).cast("int")).alias("__h"),
+    )
     rows = scan(tracks, TRACK, F.col("frame"), width=block, rank="k")
     return rows.join(v, "video_id").select(
         *TRACK, "k", "frame",
-        (F.col("frame").cast("double") / F.col("fps")).alias("t"),
-        (F.col("x") / F.col("__w")).alias("x"),
-        (F.col("y") / F.col("__h")).alias("y"),
-        (F.col("width") / F.col("__w")).alias("w"),
-        (F.col("height") / F.col("__h")).alias("h"),
+        F.try_divide(F.col("frame").cast("double"), F.col("__fps")).alias("t"),
+        F.try_divide(F.col("x"), F.col("__w")).alias("x"),
+        F.try_divide(F.col("y"), F.col("__h")).alias("y"),
+        F.try_divide(F.col("width"), F.col("__w")).alias("w"),
+        F.try_divide(F.col("height"), F.col("__h")).alias("h"),
         "confidence", "class_name",
     )
 

@@ -14,13 +14,13 @@ def effective_chunking(
 ) -> DataFrame:
     """Add ``chunk_size`` and ``overlap`` that keep one decoded chunk within ``max_bytes``.
 
-    Both are NULL where a single frame is already too large.
+    Both are NULL where a single frame is already too large or has no size.
     """
     if max_bytes is None:
         return videos.withColumns(
             {"chunk_size": F.lit(size).cast("bigint"), "overlap": F.lit(overlap).cast("bigint")}
         )
-    frames = F.expr(f"{max_bytes}L div (cast(width as bigint) * height * 3)")
+    frames = F.expr(f"{max_bytes}L div nullif(greatest(cast(width as bigint) * height * 3, 0L), 0L)")
     sized = videos.withColumn("__m", frames)
     m = F.col("__m")
     ov = F.least(F.lit(overlap).cast("bigint"), F.expr("__m div 4"))

@@ -228,11 +228,14 @@ def transitions_from_scene_scores(scenes: DataFrame, scores: DataFrame, *, digit
     """As E11, with the highest score in the closed gap as confidence.
 
     Gaps of neighbouring shots may share an end frame, so each gap is spread over its frames
-    and joined on ``(video_id, frame)``; gaps are short compared with shots.
+    and joined on ``(video_id, frame)``; gaps are short compared with shots.  Where shots
+    overlap, the score at the end of the first counts; a gap without any score has no
+    confidence.
     """
     found = transitions_from_ranges(scenes, block=block).drop("confidence")
-    spread = found.withColumn("frame", F.explode(F.sequence("gap_start", "end_frame")))
-    best = spread.join(scores.select("video_id", "frame", "score"), ["video_id", "frame"])
+    gap = F.sequence("gap_start", F.greatest("gap_start", "end_frame"))
+    spread = found.withColumn("frame", F.explode(gap))
+    best = spread.join(scores.select("video_id", "frame", "score"), ["video_id", "frame"], "left")
     best = best.groupBy("video_id", "type", "start_frame", "end_frame").agg(F.max("score").alias("confidence"))
     if digits is not None:
         best = best.withColumn("confidence", F.bround("confidence", digits))

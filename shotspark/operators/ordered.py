@@ -53,14 +53,18 @@ def scan(
 
     ``rank`` adds the zero-based row number, ``sums`` and ``maxes`` running values that
     include the current row, ``previous`` the values of the row before (NULL at the first).
-    ``(position, *tie)`` must be unique within a key.
+    ``(position, *tie)`` must be unique within a key.  A NULL key is a key like any other, and
+    a NULL position comes before all others.
     """
     keys = list(keys)
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     prev_row = F.struct(*[c.alias(n) for n, c in previous.items()]) if previous else None
 
     order = F.struct(position.alias("p"), *[F.col(t) for t in tie]) if tie else position
-    rows = df.withColumn(_BLK, block_start(position, width)).withColumn("__order", order)
+    # One struct names the part: structs are equal where their NULL fields agree, so neither
+    # grouping nor joining loses a row, and both still share one exchange.
+    part = F.struct(*[F.col(k) for k in keys], block_start(position, width).alias(_BLK))
+    rows = df.withColumn("__part", part).withColumn("__order", order)
 
     totals = []
     if rank:
@@ -68,9 +72,11 @@ def scan(
     totals += [F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()]
     totals += [F.max(c).alias(f"__max_{n}") for n, c in maxes.items()]
     # Column by column: fixed-width values under a plain position stay hash-aggregated.
-    totals += [F.max_by(c, F.col("__order")).alias(f"__prev_{n}") for n, c in previous.items()]
+    # Rows without a position fill a block of their own, where any order that is not NULL will do.
+    latest = F.col("__order") if tie else F.coalesce(F.col("__order").cast("bigint"), F.lit(0).cast("bigint"))
+    totals += [F.max_by(c, latest).alias(f"__prev_{n}") for n, c in previous.items()]
 
-    before = Window.partitionBy(*keys).orderBy(_BLK)
+    before = Window.partitionBy(*[F.col(f"__part.{k}") for k in keys]).orderBy(f"__part.{_BLK}")
     before_all = before.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     if rank:
@@ -80,9 +86,9 @@ def scan(
     if previous:
         last = F.struct(*[F.col(f"__prev_{n}").alias(n) for n in previous])
         carried.append(F.lag(last).over(before).alias("__last"))
-    summary = rows.groupBy(*keys, _BLK).agg(*totals).select(*keys, _BLK, *carried)
+    summary = rows.groupBy("__part").agg(*totals).select("__part", *carried)
 
-    here = Window.partitionBy(*keys, _BLK).orderBy("__order")
+    here = Window.partitionBy("__part").orderBy("__order")
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
     if rank:
@@ -95,7 +101,7 @@ def scan(
         local["__l_last"] = F.lag(prev_row).over(here)
     rows = rows.withColumns(local)
 
-    joined = rows.join(summary, [*keys, _BLK])
+    joined = rows.join(summary, "__part")
     out = {}
     if rank:
         out[rank] = F.col("__l_n") - 1 + F.coalesce("__n", F.lit(0))

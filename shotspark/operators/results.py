@@ -63,15 +63,18 @@ def timings(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("orchestration_wait_ms", F.greatest(F.lit(0.0), F.col("total_ms") - measured))
 
 
-def missing_output_warnings(cuts: DataFrame, tracking: DataFrame) -> DataFrame:
-    """One warning per chunk that lacks its cut or its tracking output."""
-    both = cuts.select(*CHUNK, F.lit(True).alias("c")).join(
-        tracking.select(*CHUNK, F.lit(True).alias("t")), CHUNK, "full_outer"
+def missing_output_warnings(chunks: DataFrame, cuts: DataFrame, tracking: DataFrame) -> DataFrame:
+    """A warning for every chunk that lacks its cut output and one for its tracking output."""
+    both = (
+        chunks.select(*CHUNK)
+        .distinct()
+        .join(cuts.select(*CHUNK, F.lit(True).alias("c")).distinct(), CHUNK, "left")
+        .join(tracking.select(*CHUNK, F.lit(True).alias("t")).distinct(), CHUNK, "left")
     )
     found = F.array_compact(
         F.array(
-            F.when(F.col("c").isNull(), F.lit("A chunk was missing cut-detection output")),
-            F.when(F.col("t").isNull(), F.lit("A chunk was missing tracking output")),
+            F.when(F.col("c").isNull(), F.lit("no cut output")),
+            F.when(F.col("t").isNull(), F.lit("no tracking output")),
         )
     )
     return both.select(*CHUNK, F.explode(found).alias("warning"))
@@ -152,7 +155,7 @@ def outcome_cards(results: DataFrame, status: DataFrame) -> DataFrame:
         F.concat(F.col("n_tracks").cast("string"), F.lit(" detections")),
     )
     problem = F.coalesce(
-        F.nullif("error_detail", F.lit("")), F.nullif("message", F.lit("")), F.lit("Processing error")
+        F.nullif("error_detail", F.lit("")), F.nullif("message", F.lit("")), F.lit("failed without detail")
     )
     return rows.select("video_id", done.alias("completed"), F.when(done, text).otherwise(problem).alias("card"))
 

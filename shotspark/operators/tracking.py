@@ -124,6 +124,14 @@ class _Live:
         self.seen = np.empty(0, dtype=np.int64)
         self.next_id = 0
 
+    def arrange(self) -> None:
+        """Bring tracks into an order that depends on what they are, not on how they came.
+
+        Ties of an assignment go by position, so pieces that inherit equal tracks do the same.
+        """
+        order = np.lexsort((*self.boxes.T[::-1], self.seen))
+        self.ids, self.boxes, self.seen = self.ids[order], self.boxes[order], self.seen[order]
+
     def inherit(self, boxes: np.ndarray, seen: np.ndarray) -> None:
         """Take over tracks in slot order; they are numbered by their slot."""
         self.ids = np.concatenate([self.ids, np.arange(self.next_id, self.next_id + len(seen))])
@@ -136,6 +144,7 @@ class _Live:
         alive = frame - self.seen <= p.buffer
         if not alive.all():
             self.ids, self.boxes, self.seen = self.ids[alive], self.boxes[alive], self.seen[alive]
+        self.arrange()
         got = np.full(len(conf), -1, dtype=np.int64)
         free = np.arange(len(self.ids))
         for members, limit, fuse in (
@@ -185,6 +194,7 @@ def _track_batches(p: TrackParams, piece_frames: int):
         def handed_over() -> Iterator[pd.DataFrame]:
             if unit is None or sample["last_piece"].iloc[0] <= unit[3]:
                 return
+            live.arrange()
             border = unit[2] + (unit[3] + 1) * piece_frames
             keep = np.flatnonzero(border - live.seen <= p.buffer)
             if len(keep):
@@ -263,13 +273,16 @@ def associate_tracks(
     """Boxes with ``scene_no`` to raw tracks: adds ``segment`` and ``raw_id``.
 
     Confident boxes are matched to live tracks first, weak boxes only to what is left; an
-    unmatched confident box starts a track; a track ends after ``buffer`` frames unseen.
-
-    Pieces of a long segment run side by side.  Each first assumes that it inherits no
-    track; a piece whose predecessor in fact hands over something else runs again with
-    that, until every piece has used what it really inherits.  That fixed point is the
-    sequential result, and since tracks soon depend on recent boxes only, few pieces need
-    more than a second run.
+    unmatched confident box starts a track; a track ends after ``buffer`` frames unseen.  A
+    track is its last box, without a motion model: weak boxes may also revive a track that
+    the last frame missed, and a new track counts from its first frame.
+
+    Pieces of a segment run side by side.  Each first assumes that it inherits no track; a
+    piece whose predecessor in fact hands over something else runs again with that, until
+    every piece has used what it really inherits.  That fixed point is the sequential result.
+    Tracks are handed over and tried in an order of their content, so it is reached as soon as
+    the set of live tracks at a border is right, which recent boxes alone decide: two or three
+    rounds, however many pieces there are.
     """
     if piece_frames <= params.buffer:
         raise ValueError("piece_frames must exceed the track buffer")
@@ -282,8 +295,6 @@ def associate_tracks(
         return durable(ordered.mapInPandas(_track_batches(params, piece_frames), schema))
 
     keep = [*dets.columns, "segment", "raw_id"]
-    if segments.where(F.col("last_frame") - F.col("segment") >= piece_frames).isEmpty():
-        return run(rows).select(*keep)
     rows = durable(rows)
     first = run(rows)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,8 +43,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "shots
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only a session without one
-    gets a temporary folder, which is right for a single machine alone."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder that goes with the process.  On a
+    cluster that would be another folder on every machine, so there it is an error.
+    """
     context = spark.sparkContext
     named = (
         spark.conf.get("spark.checkpoint.dir", None)
@@ -50,11 +55,20 @@ def shared_folder(spark: SparkSession) -> str:
         or context.getCheckpointDir()
     )
     if named is None:
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shotspark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go."""
+    return f"{shared_folder(spark).rstrip('/')}/shotspark/{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
@@ -62,6 +76,12 @@ def durable(df: DataFrame) -> DataFrame:
     later steps read only their columns and lets the planner see its size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/shotspark/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that read them must be done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

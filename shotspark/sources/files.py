@@ -164,8 +164,22 @@ def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_results(documents: DataFrame, schema: T.StructType) -> DataFrame:
-    """Stored documents back to nested rows."""
-    return documents.select(F.from_json("document", schema).alias("r")).select("r.*")
+    """Stored documents back to nested rows, with ``error`` where one cannot be read.
+
+    A document that is not JSON or has a value of another type gives a row of NULLs, the keys
+    it is stored under, and the reason.
+    """
+    marked = T.StructType([*schema.fields, T.StructField("__raw", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__raw"}
+    bad = F.col("r").isNull() | F.col("r.__raw").isNotNull()
+    stored = [n for n in ("video_id", "part") if n in documents.columns and n in schema.names]
+    fields = [
+        (F.coalesce(F.when(~bad, F.col(f"r.{n}")), F.col(n)) if n in stored else F.when(~bad, F.col(f"r.{n}"))).alias(n)
+        for n in schema.names
+    ]
+    return documents.withColumn("r", F.from_json("document", marked, options)).select(
+        *fields, F.when(bad, F.lit("document does not match the schema")).alias("error")
+    )
 
 
 def result_state(status: DataFrame, documents: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shotspark.operators.metrics import counter_increase
 from shotspark.operators.ordered import islands, locate, previous_dense, scan, with_halo
 
 R = random.Random(7)
@@ -115,3 +116,24 @@ def test_previous_dense(spark):
     df = spark.createDataFrame([(k, i, k * 100 + i) for k in (1, 2) for i in range(9)], "k BIGINT, i BIGINT, v BIGINT")
     got = previous_dense(df, ["k"], "i", {"before": "v"}).fillna(-1)
     assert rows_of(got, "k", "i", "v", "before") == sorted((k, i, k * 100 + i, -1 if i == 0 else k * 100 + i - 1) for k in (1, 2) for i in range(9))
+
+
+def test_null_keys_and_positions_stay(spark):
+    rows = [("a", 1, 1.0), ("a", 9, 2.0), (None, 1, 5.0), (None, 12, 7.0), (None, None, 4.0), ("a", None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, p bigint, v double")
+    got = scan(
+        df, ["k"], F.col("p"), width=4, rank="r", sums={"s": F.col("v")}, maxes={"m": F.col("v")}, previous={"b": F.col("v")}
+    )
+    want = {
+        ("a", None): (0, 3.0, 3.0, None), ("a", 1): (1, 4.0, 3.0, 3.0), ("a", 9): (2, 6.0, 3.0, 1.0),
+        (None, None): (0, 4.0, 4.0, None), (None, 1): (1, 9.0, 5.0, 4.0), (None, 12): (2, 16.0, 7.0, 5.0),
+    }
+    assert {(x.k, x.p): (x.r, x.s, x.m, x.b) for x in got.collect()} == want
+
+
+def test_counters_with_missing_labels(spark):
+    rows = [(None, 0, 1.0), (None, 10, 4.0), ("x", 0, 2.0), ("x", 10, 5.0)]
+    df = spark.createDataFrame(rows, "worker string, s int, value double")
+    samples = df.select("worker", (F.col("s") * 1_000_000).cast("bigint").alias("us"), F.col("s").alias("event_id"), "value")
+    got = {(r.worker, r.event_id): r.increase for r in counter_increase(samples, ["worker"], 60).collect()}
+    assert got == {(None, 0): 0.0, (None, 10): 3.0, ("x", 0): 0.0, ("x", 10): 3.0}

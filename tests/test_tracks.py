@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shotspark import fixtures as fx
 from shotspark.catalog.tracking import box_scenes
 from shotspark.operators import fusion, tracking
-from shotspark.plans.tracks import track_videos
+from shotspark.plans.tracks import coupled, raw_tracks, track_videos
 from shotspark.session import durable
 
 SCHEMA = "video_id BIGINT, frame BIGINT, detector INT, det_idx BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conf DOUBLE, class_name STRING"
@@ -20,20 +20,28 @@ def scene(spark, last=10_000_000):
     return spark.createDataFrame([(1, 0, 0, last)], "video_id BIGINT, scene_no BIGINT, start_frame BIGINT, end_frame BIGINT")
 
 
+def size(spark):
+    return spark.createDataFrame([(1, 1280, 720)], "video_id BIGINT, width INT, height INT")
+
+
+def sizes(dets):
+    return dets.select("video_id").distinct().withColumns({"width": F.lit(1280), "height": F.lit(720)})
+
+
 def test_two_detectors_give_one_track(spark):
     dets = spark.createDataFrame(
         [(1, 7, 0, 0, 0.0, 0.0, 6.0, 6.0, 0.80, "tank"), (1, 7, 1, 0, 0.2, 0.2, 6.2, 6.2, 0.90, "tank")], SCHEMA
     )
-    got = track_videos(dets, scene(spark)).collect()
-    assert [(r.frame, r.track_id, r.conf) for r in got] == [(7, 0, 0.90)]
+    got = track_videos(dets, scene(spark), size(spark)).collect()
+    assert [(r.frame, r.track_id, r.confidence) for r in got] == [(7, 0, 0.90)]
 
 
 def test_weak_boxes_are_not_emitted_and_take_no_number(spark):
     dets = spark.createDataFrame(
         [(1, 7, 0, 0, 0.0, 0.0, 5.0, 5.0, 0.20, "car"), (1, 7, 0, 1, 20.0, 20.0, 25.0, 25.0, 0.80, "car")], SCHEMA
     )
-    got = track_videos(dets, scene(spark)).collect()
-    assert [(r.frame, r.track_id, r.conf) for r in got] == [(7, 0, 0.80)]
+    got = track_videos(dets, scene(spark), size(spark)).collect()
+    assert [(r.frame, r.track_id, r.confidence) for r in got] == [(7, 0, 0.80)]
 
 
 def test_nms_rounds_equal_the_fold(spark, sf):
@@ -102,6 +110,34 @@ def test_pieces_equal_one_sequential_run(spark, piece):
     assert whole == cut
 
 
+def test_rounds_do_not_grow_with_pieces(spark, monkeypatch):
+    """Two objects that never leave, born in one order and ranked by the detector in the other."""
+
+    def tables(frames):
+        rows = [(1, 0, 0, 0, 0.0, 0.0, 20.0, 20.0, 0.9, "car")]
+        for f in range(1, frames):
+            rows += [(1, f, 0, 1, 0.0, 0.0, 20.0, 20.0, 0.9, "car"), (1, f, 0, 0, 50.0, 0.0, 70.0, 20.0, 0.9, "car")]
+        dets = durable(tracking.assign_scene(spark.createDataFrame(rows, SCHEMA), scene(spark)))
+        written = []
+        monkeypatch.setattr(tracking, "durable", lambda df: written.append(1) or durable(df))
+        tracks = tracking.associate_tracks(dets, piece_frames=60).groupBy("raw_id").count().collect()
+        assert sorted(r["count"] for r in tracks) == [frames - 1, frames]
+        return len(written)
+
+    few, many = tables(4 * 60), tables(16 * 60)
+    # Only following tracks back to their birth, which doubles its reach, may add a table or two.
+    assert many - few <= 2
+
+
+def test_weak_threshold_follows_emission(spark):
+    """With a higher emission threshold nothing below it starts a track."""
+    dets = spark.createDataFrame(
+        [(1, f, 0, 0, 0.0, 0.0, 20.0, 20.0, c, "car") for f, c in ((1, 0.6), (2, 0.6), (3, 0.8), (4, 0.6))], SCHEMA
+    )
+    got = raw_tracks(dets, scene(spark), coupled(tracking.TrackParams(), 0.7)).collect()
+    assert sorted(r.frame for r in got) == [3, 4]
+
+
 def test_segments_split_at_long_gaps(spark):
     dets = tracking.assign_scene(walk(spark, 800), scene(spark))
     starts = sorted(r.segment for r in tracking.track_segments(dets, block=64).collect())
@@ -109,7 +145,8 @@ def test_segments_split_at_long_gaps(spark):
 
 
 def test_track_numbers_are_dense_and_follow_first_emission(spark, sf):
-    rows = track_videos(fx.detections(spark, sf), box_scenes(spark, sf)).collect()
+    dets = fx.detections(spark, sf)
+    rows = track_videos(dets, box_scenes(spark, sf), sizes(dets)).collect()
     first = {}
     for r in rows:
         k = (r.video_id, r.scene_no)
