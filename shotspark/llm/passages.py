@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.llm.texts import small_batches
-from shotspark.session import durable, shared_folder
+from shotspark.session import durable, scratch
 
 GRAM, CELL = 32, 32
 _draw = np.random.default_rng(4107)
@@ -120,7 +120,7 @@ class Texts:
             .repartition(self.buckets, "digest")
         )
         self.name = f"texts_{uuid.uuid4().hex}"
-        folder = f"{shared_folder(self.spark).rstrip('/')}/shotspark/{self.name}"
+        folder = f"{scratch(self.spark)}/{self.name}"
         distinct.write.bucketBy(self.buckets, "digest").option("path", folder).saveAsTable(self.name)
 
     def table(self) -> DataFrame:
@@ -170,7 +170,7 @@ def at_two_places(rows: DataFrame, content: str, place: str, wanted: str) -> Dat
     """
     at = F.xxhash64("digest", place)
     seen = rows.filter(F.col(content).isNotNull()).groupBy(content)
-    return (
+    return durable(
         seen.agg(F.min(at).alias("one"), F.max(at).alias("other"), F.max(wanted).alias("some"))
         .filter("one <> other and some")
         .select(content)
@@ -185,7 +185,9 @@ def repeated_spans(texts: Texts, length: int, gram: int) -> DataFrame:
         yield from zip(own.place.tolist(), own.hash.tolist(), [copies] * len(own.place), strict=True)
 
     listed = durable(texts.visit(None, list_triggers, "digest binary, place bigint, trigger bigint, copies bigint"))
-    dictionary = listed.groupBy("trigger").agg(F.sum("copies").alias("n")).filter("n > 1").select("trigger")
+    # Written first, here and below: adaptive execution splits a hot key only where both sides
+    # of a join come straight from a shuffle.
+    dictionary = durable(listed.groupBy("trigger").agg(F.sum("copies").alias("n")).filter("n > 1").select("trigger"))
     repeating = listed.join(dictionary, "trigger").select("digest", "place")
 
     def extents(text: bytes, copies: int, asked: np.ndarray) -> Iterator[tuple]:
@@ -207,7 +209,7 @@ def repeated_spans(texts: Texts, length: int, gram: int) -> DataFrame:
     sure = phrases.join(again, ["whole", "trigger"]).select("digest", "first", (F.col("last") + length).alias("stop"))
     single = extent.filter("n = 1")
     # Where a trigger has single extents, one copy of each repeated extent may be their partner.
-    open_triggers = single.select("trigger").distinct()
+    open_triggers = durable(single.select("trigger").distinct())
     partners = extent.filter("n > 1").join(open_triggers, "trigger")
     asked = single.select("at.*", F.lit(1).alias("open")).unionByName(partners.select("at.*", F.lit(0).alias("open")))
 
@@ -223,7 +225,7 @@ def repeated_spans(texts: Texts, length: int, gram: int) -> DataFrame:
     mine = cells.join(at_two_places(cells, "inner_hash", "near", "open"), "inner_hash").join(outer, "outer_hash", "left")
     mine = durable(mine.withColumn("throughout", F.coalesce("throughout", F.lit(False))))
     through = mine.filter("open and throughout").select("digest", "lo", (F.col("hi") + length).alias("stop"))
-    unsure = mine.filter("open and not throughout").select("inner_hash").distinct()
+    unsure = durable(mine.filter("open and not throughout").select("inner_hash").distinct())
     fine = mine.join(unsure, "inner_hash").withColumn("ask", F.col("open") & ~F.col("throughout"))
 
     def list_windows(text: bytes, copies: int, asked: np.ndarray) -> Iterator[tuple]:
