@@ -206,8 +206,9 @@ def find_near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    # Buckets with the same members are one bucket.
-    shared = (
+    # Buckets with the same members are one bucket.  Written before the join, so that adaptive
+    # execution can split the members of a hot bucket.
+    shared = durable(
         banded.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
         .filter("n > 1")
@@ -262,7 +263,7 @@ def find_near_duplicates(
         .withColumn("component", F.coalesce("component", "node"))
     )
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_digest = grouped.join(least, "component").select("digest", "component_id")
+    of_digest = durable(grouped.join(least, "component").select("digest", "component_id"))
     return (
         sketched.select(key, "digest", "n_shingles")
         .join(of_digest.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("n_shingles") > 0), "left")
