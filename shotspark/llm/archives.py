@@ -229,7 +229,7 @@ def write_archives(
     Archives are rows of a written table, each small enough for one task, so that any store
     Spark can write will hold them; ``content`` is the bytes of a ZIP file.
     """
-    holders = first_holders(pages, key, page, least_bytes)
+    holders = durable(first_holders(pages, key, page, least_bytes))
     payload = F.coalesce(F.col(page).cast("string"), F.lit(""))
     kept = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     # Equal payloads may be a third of all pages: only long enough ones look for their holder,
