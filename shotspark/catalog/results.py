@@ -8,9 +8,11 @@ from shotspark import fixtures as fx
 from shotspark.catalog.chunking import PLAN_SQL, small_plan
 from shotspark.catalog.detection import DETECT
 from shotspark.catalog.scenes import CHUNK_DETECT, CHUNK_SCENES, SCENES, global_detections, scenes, transitions
+from shotspark.catalog.tracking import NMS
 from shotspark.fixtures import with_views
 from shotspark.operators import ownership as own
 from shotspark.operators import results as res
+from shotspark.plans.results import results_of_videos
 from shotspark.session import durable
 
 QUERIES: dict = {}
@@ -186,6 +188,56 @@ ORACLE["assemble_results"] = with_views(
 )
 
 
+def results_end_to_end(spark, d):
+    """Scores and boxes to documents; a stand-in for the tracker makes them comparable.
+
+    Every box is reported by its own chunk and by the next one, whose valid range it misses.
+    """
+    plan = small_plan(spark, d)
+    own_chunk = F.expr("frame div 16")
+    dets = fx.detections(spark, d)
+    dets = dets.withColumn("chunk_index", own_chunk).unionByName(dets.withColumn("chunk_index", own_chunk + 1))
+
+    def stand_in(placed, params):
+        kept = placed.where(F.col("conf") >= params.low)
+        return kept.withColumns({"segment": F.lit(0).cast("bigint"), "raw_id": (F.col("det_idx") * 5 + F.col("frame")) % 23})
+
+    docs = results_of_videos(
+        fx.videos(spark, d).select("video_id", "frame_count", "width", "height"), plan, fx.frame_scores(spark, d), dets,
+        timings(spark, d), missing_output_warnings(spark, d), emit=0.6, part_frames=40, associate=stand_in,
+    )
+    weight = lambda acc, t: acc + t["frame"] * (t["track_id"] + 1) * (t["scene_no"] + 1)
+    return docs.select(
+        "video_id", "part", F.size("scenes").cast("bigint").alias("n_scenes"),
+        F.size("transitions").cast("bigint").alias("n_transitions"), F.size("tracks").cast("bigint").alias("n_tracks"),
+        F.aggregate("tracks", F.lit(0).cast("bigint"), weight).alias("track_sum"),
+        F.aggregate("tracks", F.lit(0.0), lambda acc, t: F.greatest(acc, t["x"] + t["width"])).alias("right_edge"),
+        F.size(F.coalesce("warnings", F.array().cast(docs.schema["warnings"].dataType))).cast("bigint").alias("n_warnings"),
+    )
+
+
+QUERIES["results_end_to_end"] = results_end_to_end
+ORACLE["results_end_to_end"] = with_views(
+    """SELECT p.video_id, p.part, count(*) FILTER (WHERE k = 's') AS n_scenes, count(*) FILTER (WHERE k = 't') AS n_transitions,
+    count(*) FILTER (WHERE k = 'b') AS n_tracks, CAST(coalesce(sum(a), 0) AS BIGINT) AS track_sum, coalesce(max(r), CAST(0 AS DOUBLE)) AS right_edge,
+    CAST(coalesce(max(w.n), 0) AS BIGINT) AS n_warnings FROM (
+        SELECT video_id, start_frame // 40 AS part, 's' AS k, 0 AS a, CAST(NULL AS DOUBLE) AS r FROM scenes
+        UNION ALL SELECT video_id, start_frame // 40, 't', 0, NULL FROM transitions
+        UNION ALL SELECT video_id, frame // 40, 'b', frame * (track_id + 1) * (scene_no + 1), CAST(x2 AS DOUBLE) FROM numbered
+        UNION ALL SELECT video_id, 0, 'h', 0, NULL FROM videos) p
+    LEFT JOIN (SELECT video_id, count(DISTINCT warning) AS n FROM missing GROUP BY 1) w ON w.video_id = p.video_id AND p.part = 0
+    GROUP BY 1, 2""",
+    "frame_scores", "videos", "detections", **DETECT, scenes=SCENES, plan=PLAN_SQL, missing=MISSING, **NMS,
+    emitted="""
+SELECT n.*, s.scene_no, (n.det_idx * 5 + n.frame) % 23 AS raw_id FROM nms n JOIN videos v ON v.video_id = n.video_id AND n.frame < v.frame_count
+JOIN scenes s ON s.video_id = n.video_id AND n.frame BETWEEN s.start_frame AND s.end_frame WHERE n.conf >= 0.6::DOUBLE""",
+    numbered="""
+SELECT e.*, f.track_id FROM emitted e JOIN (SELECT video_id, scene_no, raw_id, row_number() OVER (PARTITION BY video_id, scene_no ORDER BY m) - 1 AS track_id FROM (
+    SELECT video_id, scene_no, raw_id, min(frame * 10000 + detector * 1000 + det_idx) AS m FROM emitted GROUP BY 1, 2, 3) a) f
+    ON f.video_id = e.video_id AND f.scene_no = e.scene_no AND f.raw_id = e.raw_id""",
+)
+
+
 def status_rows(spark, d):
     v = fx.videos(spark, d)
     i = F.col("video_id")

@@ -51,20 +51,15 @@ def class_nms(
 ) -> DataFrame:
     """Keep a box unless a kept, higher-ranked box of its class overlaps it enough.
 
-    One frame rarely holds more than a few hundred boxes; those groups fold in one pass.
-    Groups above ``group_limit`` go in rounds instead: the best ``group_limit`` undecided
-    boxes are final among themselves, then everything they suppress is dropped, until
-    nothing is left.  No pairs are formed and no group is ever held whole.
+    Goes in rounds: of every group the best ``group_limit`` undecided boxes are final among
+    themselves, then everything they suppress is dropped, until nothing is left.  One frame
+    rarely holds more than a few hundred boxes of a class, so one round is the rule.  No pairs
+    are formed and no group is ever held whole.
     """
     keys = list(keys)
-    big = dets.groupBy(*keys).count().where(F.col("count") > group_limit).select(*keys)
-    if big.isEmpty():
-        return _fold(dets, threshold, keys)
-    big = durable(big)
-    result = _fold(dets.join(big, keys, "left_anti"), threshold, keys)
-    rest = durable(dets.join(big, keys, "left_semi"))
+    rest, result = dets, None
     best_first = Window.partitionBy(*keys).orderBy("neg_conf", "detector", "det_idx")
-    while not rest.isEmpty():
+    while True:
         # row_number() <= limit is cut down in every task before the exchange.
         top = (
             rest.withColumn("neg_conf", -F.col("conf"))
@@ -74,9 +69,17 @@ def class_nms(
         )
         top = durable(top)
         kept = durable(_fold(top, threshold, keys))
-        result = result.unionByName(kept)
-        decided = top.groupBy(*keys).agg(F.max(_rank()).alias("__last")).join(
-            kept.groupBy(*keys).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__kept")), keys
+        result = kept if result is None else result.unionByName(kept)
+        # Only groups that filled their share may have more.
+        full = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(_rank()).alias("__last"))
+        full = durable(full.where(F.col("__n") >= group_limit).drop("__n"))
+        if full.isEmpty():
+            break
+        decided = full.join(
+            kept.join(full.select(*keys), keys, "left_semi")
+            .groupBy(*keys)
+            .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__kept")),
+            keys,
         )
         me = F.struct("x1", "y1", "x2", "y2")
         rest = durable(

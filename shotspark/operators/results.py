@@ -97,17 +97,19 @@ def assemble_results(
     timing: DataFrame,
     warnings: DataFrame,
     *,
-    part_frames: int = PART_FRAMES,
+    part_frames: int | None = PART_FRAMES,
 ) -> DataFrame:
     """Nested result documents, one per ``(video_id, part)``.
 
     A part covers ``part_frames`` frames, so the arrays stay bounded however long a video
-    is; most videos have part 0 only.  Metadata, timings and warnings are on part 0, where
+    is; most videos have part 0 only.  With None there is one document per video, whatever
+    its length.  Metadata, timings and warnings are on part 0, where
     warnings keep one entry per distinct text with its count.
     """
 
     def gather(df: DataFrame, frame: str, name: str, *fields: str) -> DataFrame:
-        part = F.expr(f"{frame} div {part_frames}").alias("part")
+        number = F.lit(0).cast("bigint") if part_frames is None else F.expr(f"{frame} div {part_frames}")
+        part = number.alias("part")
         return df.groupBy("video_id", part).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
     body = gather(scenes, "start_frame", "scenes", "start_frame", "end_frame", "scene_no")

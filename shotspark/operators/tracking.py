@@ -34,6 +34,16 @@ def assign_scene(dets: DataFrame, scenes: DataFrame, *, block: int = BLOCK) -> D
     return locate(dets, held, ["video_id"], "frame", "__from", "__to", ["scene_no"], width=block).drop("__from", "__to")
 
 
+def keep_valid(dets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Boxes within the valid range of the chunk that reported them; drops ``chunk_index``.
+
+    Chunks overlap, so a frame is seen by several; it is valid in one of them only.
+    """
+    valid = chunks.select("video_id", "chunk_index", F.col("valid_start").alias("__from"), F.col("valid_end").alias("__to"))
+    kept = dets.join(valid, ["video_id", "chunk_index"]).where(F.col("frame").between(F.col("__from"), F.col("__to")))
+    return kept.drop("chunk_index", "__from", "__to")
+
+
 def tracker_resets(scenes: DataFrame, transitions: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Where the tracker starts afresh.
 
