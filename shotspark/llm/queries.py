@@ -107,4 +107,14 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_find_personal_data": op10_find_personal_data,
 }
-ORACLE: dict[str, str] = {}
+#: Base32 letters come from the hexadecimal digest, four for every five digits.
+ORACLE: dict[str, str] = {
+    "op8_archive_pages": """
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(concat('0x', substr(d, 5 * g + 1, 5)) AS BIGINT) >> (15 - 5 * k)) & 31 AS BIGINT), 1)),
+        'string_agg', '')), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM (SELECT page_id, h, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS f FROM (
+    SELECT page_id, coalesce(html, '') AS h FROM pages) a) b""",
+}
