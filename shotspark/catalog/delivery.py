@@ -14,7 +14,7 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 #: Moment at which ages are measured: shortly after the middle of the test events.
-AS_OF = "2024-01-20 00:00:00"
+AS_OF = "2024-01-31 00:00:00"
 US = "CAST(epoch_us({c}) AS BIGINT)"
 
 

@@ -27,9 +27,14 @@ def merge_transitions(chunk_transitions: DataFrame) -> DataFrame:
 
 
 def flatten_tracks(chunk_tracks: DataFrame) -> DataFrame:
-    """One row per tracked box, in (frame, scene, track) order within a video."""
+    """One row per tracked box, in (frame, scene, track) order.
+
+    The boxes of ``BLOCK`` frames of a video lie together, in order; no order holds between
+    such parts, so nothing is sorted across the whole table.
+    """
     flat = chunk_tracks.select("video_id", F.inline("tracks"))
-    return flat.orderBy("video_id", "frame", "scene_no", "track_id")
+    placed = flat.repartition("video_id", F.expr(f"frame div {BLOCK}"))
+    return placed.sortWithinPartitions("video_id", "frame", "scene_no", "track_id")
 
 
 def _ms(later: Column, earlier: Column) -> Column:

@@ -10,6 +10,8 @@ from shotspark.functions import coords, paths
 from shotspark.operators import admission, delivery, metrics, results, status
 from shotspark.sources import files
 
+# Literal inputs below have outcomes that the rules prescribe.
+
 
 def one(spark, value, fn):
     return spark.createDataFrame([(value,)], "v STRING").select(fn(F.col("v")).alias("r")).first().r

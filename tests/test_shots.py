@@ -12,6 +12,8 @@ from shotspark.plans.shots import detected
 from shotspark.session import durable
 from shotspark.streaming.folds import ChunkRanges, Pending, own_gradual_step
 
+# Literal inputs below have outcomes that the rules prescribe.
+
 
 def scores(spark, boundary, transition):
     rows = [(1, i, b, t) for i, (b, t) in enumerate(zip(boundary, transition))]

@@ -15,6 +15,8 @@ from shotspark.session import durable
 
 SCHEMA = "video_id BIGINT, frame BIGINT, detector INT, det_idx BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conf DOUBLE, class_name STRING"
 
+# Literal inputs below have outcomes that the rules prescribe.
+
 
 def scene(spark, last=10_000_000):
     return spark.createDataFrame([(1, 0, 0, last)], "video_id BIGINT, scene_no BIGINT, start_frame BIGINT, end_frame BIGINT")
