@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotspark.operators.ordered import BLOCK, islands, locate, scan, with_halo
+from shotspark.session import durable
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,11 @@ def confirm_gradual(
         F.max(_first_peak("boundary_p")).alias("peak"),
         F.max("transition_p").alias("transition_peak"),
     )
+    return _confirmed(peaks, params, keys)
+
+
+def _confirmed(peaks: DataFrame, params: DetectParams, keys) -> DataFrame:
+    """Runs with their peaks that pass as gradual transitions."""
     length = (F.col("end") - F.col("start")).cast("double")
     offset = (-F.col("peak.neg_frame") - F.col("start")).cast("double")
     return peaks.where(
@@ -175,7 +181,14 @@ def suppress_inside(hard: DataFrame, gradual: DataFrame, *, keys=KEY, block: int
 
 
 def detect_transitions(scores: DataFrame, params: DetectParams = DetectParams(), *, keys=KEY) -> DataFrame:
-    """``video_id, type, start_frame, end_frame, confidence`` (hard: both frames equal)."""
+    """``video_id, type, start_frame, end_frame, confidence`` (hard: both frames equal).
+
+    Without a merge gap every frame of a run is above its threshold, so one pass over the
+    scores finds the runs of both kinds with their peaks.  With a gap, runs also hold frames
+    below it, which a second pass has to look up.
+    """
+    if not params.gradual_merge_gap:
+        return _detect_in_one_pass(scores, params, keys)
     # Merging runs with a gap equals merging the positive frames with the same gap.
     runs = islands(
         scores.where(F.col("transition_p") > params.gradual_threshold),
@@ -186,6 +199,25 @@ def detect_transitions(scores: DataFrame, params: DetectParams = DetectParams(),
     return as_transitions(suppress_inside(peaks, gradual, keys=keys, block=params.block), gradual, keys=keys)
 
 
+def _detect_in_one_pass(scores: DataFrame, params: DetectParams, keys) -> DataFrame:
+    gradual, hard = F.col("transition_p") > params.gradual_threshold, F.col("boundary_p") > params.boundary_threshold
+    kinds = F.array_compact(F.array(F.when(gradual, F.lit("gradual")), F.when(hard, F.lit("hard"))))
+    hot = scores.where(gradual | hard).select(*keys, "frame", "boundary_p", "transition_p", F.explode(kinds).alias("__kind"))
+    # There are few runs and three steps read them: written once, the scores are read once.
+    runs = durable(
+        islands(
+            hot, [*keys, "__kind"], F.col("frame"), F.col("frame"), width=params.block,
+            maxes={"peak": _first_peak("boundary_p"), "transition_peak": F.col("transition_p")},
+        )
+    )
+    of = lambda kind: runs.where(F.col("__kind") == kind).drop("__kind")
+    found = _confirmed(min_length(of("gradual"), params.gradual_min_frames), params, keys)
+    peaks = of("hard").select(
+        *keys, (-F.col("peak.neg_frame")).cast("bigint").alias("frame"), F.col("peak.p").alias("confidence")
+    )
+    return as_transitions(suppress_inside(peaks, found, keys=keys, block=params.block), found, keys=keys)
+
+
 def as_transitions(hard: DataFrame, gradual: DataFrame, *, keys=KEY) -> DataFrame:
     return gradual.select(
         *keys,
