@@ -199,7 +199,7 @@ def find_leaks(
 ) -> DataFrame:
     """Pairs of a record and a benchmark item that its text contains, edits allowed.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); it has no benchmarks, so the item table is general (``item_id``, ``text``).
     Texts and items are compared as lower-case words joined by one space.  A pair is found
     when some substring of the record's text is within ``(1 - similarity)`` of the item's

@@ -149,7 +149,7 @@ def scan_licences(
 ) -> DataFrame:
     """License phrases and notices of every text, read whole.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); any other key and text column can be named.  Result: the key, ``n_words``,
     ``n_base`` (all places of ``phrases``), ``first_word`` and ``last_word`` (smallest and
     largest start of a place, words from 0, null without one), ``base_labels``, ``labels``

@@ -184,7 +184,7 @@ def find_near_duplicates(
 ) -> DataFrame:
     """Groups of records whose texts are near-duplicates.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); any other ordered key and text column can be named.  Words are runs between
     ASCII white space with A-Z lower-cased; a record's set are its distinct 5-word shingles,
     with fewer words the whole sequence, and nothing for a null or blank text.  Records with

@@ -245,7 +245,7 @@ def remove_repeated_passages(
 ) -> DataFrame:
     """What stays of every text once all strings of ``length`` bytes that occur again are taken out.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); any other key and text column can be named.  Texts are UTF-8 bytes, null is
     empty; a byte goes if some string of ``length`` bytes over it also starts at another place
     of any record, the same included.  Matches lie within one text and are judged on the

@@ -229,7 +229,7 @@ def _believed(span: Column, weights: list[float]) -> Column:
 def find_personal_data(records: DataFrame, key: str = "source_event_id", text: str = "payload") -> DataFrame:
     """Personal data of every text: ``key, spans ARRAY<STRUCT<kind, start, stop, base>>``.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); any other key and text column can be named.  Kinds are email, ip, card and
     phone, and secret (long hexadecimal tokens), which only the method can find.  ``start``
     and ``stop`` (exclusive) count code points.  Every match of a base definition stays with

@@ -133,7 +133,7 @@ def score_payloads(
 ) -> DataFrame:
     """``key, score DOUBLE, predicted INT`` for every record, as ``labels`` (key, ranked) teach it.
 
-    The reference records with free text are rejected messages (``source_event_id``,
+    The library's records with free text are rejected messages (``source_event_id``,
     ``payload``); any other key and text column can be named.  Every text is read whole, null
     as empty; labels of unknown keys, null labels and labels other than 0 and 1 teach
     nothing, repeated rows count as often as they occur, and further columns are ignored.
