@@ -1,7 +1,10 @@
 """Benchmark items that occur, whole and possibly edited, in texts.
 
-A window of a text as long as an item is laid over every place where one of the item's
-anchor words (its longest) stands, so that the words coincide.  Window and item are embedded
+Places come from the whole text: wherever enough q-grams of an item lie so that they put the
+item's start at nearly the same character, windows as long as the item are laid at the starts
+that most q-grams agree on.  No place within about a seventh of the item's length in edits is
+missed by that; beyond, up to the accepted quarter, one is missed only if its edits leave
+hardly any q-gram whole.  Window and item are embedded
 by random walks in the way of Chakraborty, Goldenberg and Koucky: step ``t`` emits the
 character under the cursor and moves on or stays, as a random bit of ``t`` and that character
 says.  Close strings fall into step again after an edit, so a small edit distance becomes a
@@ -27,6 +30,11 @@ from shotspark.llm.texts import small_batches
 from shotspark.session import durable
 
 WORD = re.compile(r"\w+")
+#: A stretch is looked at from one shared q-gram for so many characters of the item on.
+SHARE = 12
+#: Items below so many characters have q-grams of four.
+SHORT = 48
+HASH_BITS = 20
 FOUND = "edits bigint, item_chars bigint, similarity double"
 
 
@@ -104,27 +112,43 @@ def codes(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 255 + 1).astype(np.uint8)
 
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
+    """Hash below ``1 << HASH_BITS`` of every ``size`` neighbouring characters."""
+    count = max(0, len(text) - size + 1)
+    mixed = np.zeros(count, np.uint32)
+    for i in range(size):
+        mixed *= np.uint32(0x01000193)
+        mixed += text[i : i + count]
+    mixed *= np.uint32(0x9E3779B1)
+    return mixed >> np.uint32(32 - HASH_BITS)
+
+
+def likeliest(starts: np.ndarray, most: int = 4) -> list[int]:
+    """The starts that most q-grams agree on."""
+    each, count = np.unique(starts, return_counts=True)
+    return np.maximum(each[np.argsort(-count, kind="stable")[:most]], 0).tolist()
+
+
 class Items:
-    """A block of items, normalised to words and single spaces, with anchors and keys."""
+    """A block of items, normalised to words and single spaces, with their q-grams and keys."""
 
-    def __init__(self, items: list[tuple], similarity: float, anchors: int, least_words: int, walks: Walks):
+    def __init__(self, items: list[tuple], similarity: float, gram: int, least_words: int, walks: Walks):
         self.walks, self.ids, self.texts, self.edits = walks, [], [], []
-        self.anchors: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             words = WORD.findall((text or "").lower())
             if len(words) < least_words:
                 continue
             plain = " ".join(words)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            longest = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
-            # Words of six letters and more are rare enough to be tried more often.
-            for i in longest[: anchors // 2] + [i for i in longest[anchors // 2 : anchors] if len(words[i]) > 5]:
-                self.anchors[words[i]].append((len(self.ids), int(starts[i])))
             self.ids.append(item)
             self.texts.append(plain)
             self.edits.append(math.floor((1 - similarity) * len(plain) + 1e-9))
-        self.anchors = dict(self.anchors)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array(self.edits, np.int64)
+        self.shared = np.maximum(1, self.sizes // SHARE)
         self.masks = []
         for text in self.texts:
             masks: dict[str, int] = defaultdict(int)
@@ -133,6 +157,22 @@ class Items:
             self.masks.append(dict(masks))
         if self.ids:
             self.keys = walks.keys(self._rows([codes(t) for t in self.texts]), self.sizes)
+            # Short items are told apart by shorter q-grams, as few of theirs stay whole.
+            short = self.sizes < SHORT
+            self.grams = [
+                self._grams(np.flatnonzero(of), size)
+                for size, of in ((gram, ~short), (min(gram, 4), short)) if of.any()
+            ]
+
+    def _grams(self, numbers: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(size, first, items, offsets): entries ``first[h]`` to ``first[h + 1]`` are the q-grams of hash ``h``."""
+        hashes = [gram_hashes(points(self.texts[i]), size) for i in numbers]
+        items = np.repeat(numbers, [len(h) for h in hashes])
+        offsets = np.concatenate([np.arange(len(h)) for h in hashes])
+        hashed = np.concatenate(hashes)
+        order = np.argsort(hashed, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(hashed, minlength=1 << HASH_BITS))])
+        return size, first.astype(np.int32), items[order], offsets[order]
 
     def _rows(self, windows: list[np.ndarray]) -> np.ndarray:
         rows = np.zeros((len(windows), max(map(len, windows)) + 1), np.uint8)
@@ -140,44 +180,80 @@ class Items:
             row[: len(window)] = window
         return rows
 
+    def _places(self, text: np.ndarray, hits: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, ascending starts) of every stretch of a text that holds enough q-grams of the item.
+
+        A q-gram at ``p`` of the text and ``o`` of the item lays the item's start at ``p - o``.
+        An occurrence with ``k`` edits keeps all but ``q * k`` q-grams, and their starts differ
+        by ``k`` at most: so many starts that close together are looked for.
+        """
+        for size, first, items, offsets in self.grams:
+            if len(text) < size:
+                continue
+            hashed = gram_hashes(text, size)
+            low = first[hashed]
+            count = first[hashed + 1] - low
+            at = np.flatnonzero(count)
+            low, count = low[at], count[at]
+            ends = np.cumsum(count, dtype=np.int64)
+            reach = int(self.sizes.max())
+            begin = 0
+            while begin < len(at):
+                # About ``hits`` q-grams at once; the next part reads the last ones again.
+                done = int(ends[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + hits, "right")))
+                if end < len(at):
+                    end = max(end, int(np.searchsorted(at, at[begin] + 4 * reach, "right")))
+                n = count[begin:end]
+                entry = np.arange(int(n.sum())) + np.repeat(low[begin:end] - (np.cumsum(n) - n), n)
+                start = np.repeat(at[begin:end], n) - offsets[entry] + reach
+                found = np.sort(items[entry] << 40 | start)
+                item, start = found >> 40, (found & ((1 << 40) - 1)) - reach
+                other = np.arange(len(found)) + self.shared[item] - 1
+                known = np.minimum(other, len(found) - 1)
+                close = (other < len(found)) & (found[known] - found <= self.most[item])
+                first_of = np.flatnonzero(close)
+                last_of = known[first_of]
+                if len(first_of):
+                    # Stretches that overlap are one.
+                    cut = np.flatnonzero((first_of[1:] > last_of[:-1]) | (item[first_of[1:]] != item[first_of[:-1]])) + 1
+                    for i, j in zip(first_of[np.r_[0, cut]], last_of[np.r_[cut - 1, -1]], strict=True):
+                        yield int(item[i]), start[i : j + 1]
+                if end == len(at):
+                    break
+                begin = max(begin + 1, int(np.searchsorted(at, at[end - 1] - 2 * reach)))
+
     def search(self, texts: list[str], block: int = 4096) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of every leak found."""
-        asked: list[tuple[int, int, int]] = []
+        stretches: list[tuple[int, int, np.ndarray]] = []
         plain: dict[int, str] = {}
-        known = self.anchors
         for number, text in enumerate(texts):
-            words = WORD.findall(text.lower())
-            hits = [i for i, w in enumerate(words) if w in known]
-            if not hits:
-                continue
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            starts = np.cumsum(sizes) - sizes
-            plain[number] = " ".join(words)
-            seen = set()
-            for i in hits:
-                for item, offset in known[words[i]]:
-                    place = (number, item, max(0, int(starts[i]) - offset))
-                    if place not in seen:
-                        seen.add(place)
-                        asked.append(place)
+            words = " ".join(WORD.findall(text.lower()))
+            for item, starts in self._places(points(words)):
+                plain[number] = words
+                stretches.append((number, item, starts))
         found: dict[tuple[int, int], int] = {}
         coded = {number: codes(text) for number, text in plain.items()}
         # Windows of like size walk together.
-        asked.sort(key=lambda place: self.sizes[place[1]])
+        stretches.sort(key=lambda s: self.sizes[s[1]])
+        asked = [(s, start) for s, (_, _, starts) in enumerate(stretches) for start in likeliest(starts)]
+        alike = np.zeros(len(stretches), bool)
         for at in range(0, len(asked), block):
             part = asked[at : at + block]
-            items = np.array([item for _, item, _ in part])
-            windows = [coded[number][start : start + int(self.sizes[item])] for number, item, start in part]
+            own = np.array([s for s, _ in part])
+            items = np.array([stretches[s][1] for s in own])
+            windows = [coded[stretches[s][0]][start : start + int(self.sizes[stretches[s][1]])] for s, start in part]
             keys = self.walks.keys(self._rows(windows), self.sizes[items])
-            alike = (keys == self.keys[items]).any(axis=1)
-            for (number, item, start), close in zip(part, alike, strict=True):
-                if not close or (number, item) in found:
-                    continue
-                most = self.edits[item]
-                region = plain[number][max(0, start - most) : start + int(self.sizes[item]) + most]
-                edits = least_edits(self.texts[item], region, self.masks[item])
-                if edits <= most:
-                    found[number, item] = edits
+            alike[own[(keys == self.keys[items]).any(axis=1)]] = True
+        for s in np.flatnonzero(alike):
+            number, item, starts = stretches[s]
+            most = self.edits[item]
+            if found.get((number, item), most + 1) == 0:
+                continue
+            region = plain[number][max(0, int(starts[0]) - most) : max(0, int(starts[-1])) + int(self.sizes[item]) + most]
+            edits = least_edits(self.texts[item], region, self.masks[item])
+            if edits <= most:
+                found[number, item] = min(edits, found.get((number, item), edits))
         return [(number, item, edits) for (number, item), edits in found.items()]
 
 
@@ -194,8 +270,8 @@ def _index(items: DataFrame, blocks: int, block: int, *settings) -> Items:
 
 def find_leaks(
     records: DataFrame, items: DataFrame, key: str = "source_event_id", text: str = "payload",
-    item_key: str = "item_id", item_text: str = "text", similarity: float = 0.75, anchors: int = 8,
-    walks: int = 3, keys: int = 32, sampled: int = 4, least_words: int = 5, block_items: int = 20_000,
+    item_key: str = "item_id", item_text: str = "text", similarity: float = 0.75, gram: int = 6,
+    walks: int = 3, keys: int = 32, sampled: int = 2, least_words: int = 5, block_items: int = 20_000,
 ) -> DataFrame:
     """Pairs of a record and a benchmark item that its text contains, edits allowed.
 
@@ -203,9 +279,10 @@ def find_leaks(
     ``payload``); it has no benchmarks, so the item table is general (``item_id``, ``text``).
     Texts and items are compared as lower-case words joined by one space.  A pair is found
     when some substring of the record's text is within ``(1 - similarity)`` of the item's
-    length in edits, a window at an anchor word leads there, and its keys agree once.
+    length in edits, one for every ``SHARE`` characters of the item's q-grams of ``gram``
+    characters stands there, and the keys of a window agree once.
 
-    Result, a row per pair: the key, the item's key, ``edits`` (the smallest seen at the window
+    Result, a row per pair: the key, the item's key, ``edits`` (the smallest seen at the windows
     that led there), ``item_chars`` and ``similarity`` (1 - edits / chars).  Items of fewer than
     ``least_words`` words say too little and are found nowhere; null texts are empty; repeated
     rows give repeated pairs, repeated items count once; further columns are ignored.  Items
@@ -219,7 +296,7 @@ def find_leaks(
     plain = records.select(F.col(key).alias("record"), F.col(text).cast("string").alias("text"))
 
     def passing(block: int) -> DataFrame:
-        index = _index(items, blocks, block, similarity, anchors, least_words, Walks(walks, keys, sampled))
+        index = _index(items, blocks, block, similarity, gram, least_words, Walks(walks, keys, sampled))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, "text"):
@@ -249,13 +326,13 @@ def find_leaks(
 
 def drop_leaks(
     records: DataFrame, items: DataFrame, text: str = "payload", item_key: str = "item_id", item_text: str = "text",
-    similarity: float = 0.75, anchors: int = 8, walks: int = 3, keys: int = 32, sampled: int = 4,
+    similarity: float = 0.75, gram: int = 6, walks: int = 3, keys: int = 32, sampled: int = 2,
     least_words: int = 5, block_items: int = 20_000,
 ) -> DataFrame:
     """The records, with all their columns, in which :func:`find_leaks` finds no item."""
     items, blocks = _item_blocks(items, item_key, item_text, block_items)
     for block in range(blocks):
-        index = _index(items, blocks, block, similarity, anchors, least_words, Walks(walks, keys, sampled))
+        index = _index(items, blocks, block, similarity, gram, least_words, Walks(walks, keys, sampled))
 
         def clean(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, text):

@@ -75,3 +75,27 @@ def test_odd_rows(spark):
 def test_equal_strings_have_equal_keys():
     index = Items([("i", "some words of a little text")], 0.75, 8, 5, Walks(2, 4, 3))
     assert index.search(["x. Some words, of a little text"]) == [(0, 0, 0)]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25])
+def test_recall_up_to_the_accepted_edits(share):
+    draw = random.Random(7)
+    items = [(i, words(draw, draw.randrange(16, 60))) for i in range(150)]
+    index = Items(items, 0.75, 6, 5, Walks(3, 32, 2))
+    texts = []
+    for _, item in items:
+        changed = list(item)
+        for i in draw.sample(range(len(item)), int(share * len(item))):
+            changed[i] = draw.choice("abcdehinorst")
+        texts.append(f"{words(draw, 60)} {''.join(changed)} {words(draw, 50)}")
+    want = {(i, i) for i, item in items if edit_distance_in(item, texts[i]) <= len(item) // 4}
+    got = {(number, item) for number, item, _ in index.search(texts)}
+    assert len(want) >= 145 and len(got & want) >= 0.95 * len(want)
+
+
+def test_copy_whose_longest_words_are_all_edited():
+    words = "which of the seven old towns lies at the mouth of a river that freezes over in winter".split()
+    index = Items([("i", " ".join(words))], 0.75, 6, 5, Walks(3, 32, 2))
+    longest = sorted(range(len(words)), key=lambda i: -len(words[i]))[:8]
+    edited = [w[:-1] + "x" if i in longest else w for i, w in enumerate(words)]
+    assert [(n, i) for n, i, _ in index.search(["so: " + " ".join(edited) + ", then"])] == [(0, 0)]
