@@ -35,6 +35,10 @@ SHARE = 12
 #: Items below so many characters have q-grams of four.
 SHORT = 48
 HASH_BITS = 20
+#: Characters from here on count as two, and scripts that write them do not part words.
+WIDE = "\u2e80"
+#: Items of fewer than five words and of less than this size are matched whole.
+WHOLE = 24
 FOUND = "edits bigint, item_chars bigint, similarity double"
 
 
@@ -112,6 +116,17 @@ def codes(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 255 + 1).astype(np.uint8)
 
 
+def edits_to_one(a: str, b: str) -> int:
+    """Edit distance of two strings, 2 for more than one."""
+    if a == b:
+        return 0
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    rest = (a[head + 1 :], b[head + 1 :]) if len(a) == len(b) else (a[head + (len(a) > len(b)) :], b[head + (len(b) > len(a)) :])
+    return 1 if rest[0] == rest[1] else 2
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -136,16 +151,21 @@ def likeliest(starts: np.ndarray, most: int = 4) -> list[int]:
 class Items:
     """A block of items, normalised to words and single spaces, with their q-grams and keys."""
 
-    def __init__(self, items: list[tuple], similarity: float, gram: int, least_words: int, walks: Walks):
+    def __init__(self, items: list[tuple], similarity: float, gram: int, least_chars: int, walks: Walks):
         self.walks, self.ids, self.texts, self.edits = walks, [], [], []
+        whole = []
         for item, text in items:
             words = WORD.findall((text or "").lower())
-            if len(words) < least_words:
-                continue
             plain = " ".join(words)
+            size = len(plain) + sum(ch >= WIDE for ch in plain)
+            if size < least_chars and len(words) < 5:
+                continue
+            # A short item is one only where its words stand whole, with an edit at most.
+            whole.append(len(words) < 5 and size < WHOLE)
             self.ids.append(item)
             self.texts.append(plain)
-            self.edits.append(math.floor((1 - similarity) * len(plain) + 1e-9))
+            self.edits.append(min(math.floor((1 - similarity) * len(plain) + 1e-9), 1 if whole[-1] else len(plain)))
+        self.whole = np.array(whole, bool)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.array(self.edits, np.int64)
         self.shared = np.maximum(1, self.sizes // SHARE)
@@ -158,11 +178,9 @@ class Items:
         if self.ids:
             self.keys = walks.keys(self._rows([codes(t) for t in self.texts]), self.sizes)
             # Short items are told apart by shorter q-grams, as few of theirs stay whole.
-            short = self.sizes < SHORT
-            self.grams = [
-                self._grams(np.flatnonzero(of), size)
-                for size, of in ((gram, ~short), (min(gram, 4), short)) if of.any()
-            ]
+            size_of = np.minimum(np.where(self.sizes < SHORT, 4, gram), np.maximum(1, self.sizes // 2))
+            size_of = np.minimum(size_of, gram)
+            self.grams = [self._grams(np.flatnonzero(size_of == size), int(size)) for size in np.unique(size_of)]
 
     def _grams(self, numbers: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """(size, first, items, offsets): entries ``first[h]`` to ``first[h + 1]`` are the q-grams of hash ``h``."""
@@ -223,6 +241,19 @@ class Items:
                     break
                 begin = max(begin + 1, int(np.searchsorted(at, at[end - 1] - 2 * reach)))
 
+    def _whole(self, item: int, text: str, starts: np.ndarray) -> int:
+        """Fewest edits from a short item to a run of whole words near ``starts``; between wide characters words end anywhere."""
+        own, most = self.texts[item], self.edits[item]
+        best = most + 1
+        border = lambda i: i in (0, len(text)) or " " in text[i - 1 : i + 1] or max(text[i - 1 : i + 1]) >= WIDE
+        for begin in sorted({int(x) + d for x in np.unique(starts) for d in range(-most, most + 1)}):
+            if not 0 <= begin < len(text) or not border(begin):
+                continue
+            for end in range(begin + len(own) - most, begin + len(own) + most + 1):
+                if end <= len(text) and border(end):
+                    best = min(best, edits_to_one(own, text[begin:end]))
+        return best
+
     def search(self, texts: list[str], block: int = 4096) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of every leak found."""
         stretches: list[tuple[int, int, np.ndarray]] = []
@@ -245,9 +276,15 @@ class Items:
             windows = [coded[stretches[s][0]][start : start + int(self.sizes[stretches[s][1]])] for s, start in part]
             keys = self.walks.keys(self._rows(windows), self.sizes[items])
             alike[own[(keys == self.keys[items]).any(axis=1)]] = True
-        for s in np.flatnonzero(alike):
+        short = np.array([self.whole[item] for _, item, _ in stretches], bool)
+        for s in np.flatnonzero(alike | short):
             number, item, starts = stretches[s]
             most = self.edits[item]
+            if self.whole[item]:
+                edits = self._whole(item, plain[number], starts)
+                if edits <= most:
+                    found[number, item] = min(edits, found.get((number, item), edits))
+                continue
             if found.get((number, item), most + 1) == 0:
                 continue
             region = plain[number][max(0, int(starts[0]) - most) : max(0, int(starts[-1])) + int(self.sizes[item]) + most]
@@ -271,7 +308,7 @@ def _index(items: DataFrame, blocks: int, block: int, *settings) -> Items:
 def find_leaks(
     records: DataFrame, items: DataFrame, key: str = "source_event_id", text: str = "payload",
     item_key: str = "item_id", item_text: str = "text", similarity: float = 0.75, gram: int = 6,
-    walks: int = 3, keys: int = 32, sampled: int = 2, least_words: int = 5, block_items: int = 20_000,
+    walks: int = 3, keys: int = 32, sampled: int = 2, least_chars: int = 12, block_items: int = 20_000,
 ) -> DataFrame:
     """Pairs of a record and a benchmark item that its text contains, edits allowed.
 
@@ -283,8 +320,10 @@ def find_leaks(
     characters stands there, and the keys of a window agree once.
 
     Result, a row per pair: the key, the item's key, ``edits`` (the smallest seen at the windows
-    that led there), ``item_chars`` and ``similarity`` (1 - edits / chars).  Items of fewer than
-    ``least_words`` words say too little and are found nowhere; null texts are empty; repeated
+    that led there), ``item_chars`` and ``similarity`` (1 - edits / chars).  Items of fewer than five words and
+    less than ``least_chars`` characters (wide ones, as of Chinese and Japanese, count twice) say too little
+    and are found nowhere; larger ones of fewer than five words and less than ``WHOLE`` are found
+    as whole words with at most one edit; null texts are empty; repeated
     rows give repeated pairs, repeated items count once; further columns are ignored.  Items
     travel with the tasks in blocks of ``block_items``, one pass over the texts for each.
     """
@@ -296,7 +335,7 @@ def find_leaks(
     plain = records.select(F.col(key).alias("record"), F.col(text).cast("string").alias("text"))
 
     def passing(block: int) -> DataFrame:
-        index = _index(items, blocks, block, similarity, gram, least_words, Walks(walks, keys, sampled))
+        index = _index(items, blocks, block, similarity, gram, least_chars, Walks(walks, keys, sampled))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, "text"):
@@ -327,12 +366,12 @@ def find_leaks(
 def drop_leaks(
     records: DataFrame, items: DataFrame, text: str = "payload", item_key: str = "item_id", item_text: str = "text",
     similarity: float = 0.75, gram: int = 6, walks: int = 3, keys: int = 32, sampled: int = 2,
-    least_words: int = 5, block_items: int = 20_000,
+    least_chars: int = 12, block_items: int = 20_000,
 ) -> DataFrame:
     """The records, with all their columns, in which :func:`find_leaks` finds no item."""
     items, blocks = _item_blocks(items, item_key, item_text, block_items)
     for block in range(blocks):
-        index = _index(items, blocks, block, similarity, gram, least_words, Walks(walks, keys, sampled))
+        index = _index(items, blocks, block, similarity, gram, least_chars, Walks(walks, keys, sampled))
 
         def clean(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, text):

@@ -99,3 +99,17 @@ def test_copy_whose_longest_words_are_all_edited():
     longest = sorted(range(len(words)), key=lambda i: -len(words[i]))[:8]
     edited = [w[:-1] + "x" if i in longest else w for i, w in enumerate(words)]
     assert [(n, i) for n, i, _ in index.search(["so: " + " ".join(edited) + ", then"])] == [(0, 0)]
+
+
+def test_short_items_and_items_without_spaces():
+    items = [(0, "What causes ocean tides?"), (1, "Ocean tides rise"), (2, "什么力量会导致海洋的潮汐"), (3, "潮汐是什么引起"), (4, "tides"),
+             (5, "月亮绕着地球转动的时候海水为什么会上涨又为什么会退落")]
+    index = Items(items, 0.75, 6, 12, Walks(3, 32, 2))
+    texts = [
+        "Asked: what causes ocean tides? The moon.", "the ocean tides rise now", "the ocean tide rise now", "ocean tides risen by",
+        "ocean xides risk", "他问什么力量会导致海洋的潮汐答月亮", "他问什么力量能导致海洋的潮汐答", "你知道潮汐是什么引起的吗", "tides",
+        "问月亮绕着地球转动时候海水为何会上涨又为什么会退落啊",
+    ]
+    got = {(number, item) for number, item, _ in index.search(texts)}
+    # "ocean tides risen" is one edit from the item, "ocean xides risk" two; "tides" is no item.
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 1), (5, 2), (6, 2), (7, 3), (9, 4)}
