@@ -41,3 +41,21 @@ def test_table(spark):
     text = main_text(PAGE)
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "w", "", 0)], key=str)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>Sentence {i} of the story, which goes on for a while, as stories do. And then it ends, at last.</p>" for i in range(8))
+
+
+def test_article_elements_that_mark_teasers():
+    cards = "".join(f'<article><h3><a href="/{i}">Other story {i}</a></h3></article>' for i in range(6))
+    page = f'<html><body><div class="post"><h1>Headline</h1>{BODY}</div><div>{cards}</div></body></html>'
+    got = main_text(page).split("\n")
+    assert [x for x in got if x.startswith("Sentence")] == [f"Sentence {i} of the story, which goes on for a while, as stories do. And then it ends, at last." for i in range(8)]
+    assert not any(x.startswith("Other") for x in got)
+
+
+def test_threshold_holds_within_articles():
+    links = "".join(f"<li>x<a>y{i}</a>" for i in range(30))
+    page = f"<html><body><article><h1>Headline</h1>{BODY}<section><div><ul>{links}</ul></div></section></article></body></html>"
+    got = main_text(page)
+    assert got.count("Sentence") == 8 and "y7" not in got
