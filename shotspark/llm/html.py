@@ -34,7 +34,7 @@ SIBLINGS = {
 }
 SCOPES = frozenset("html body table ul ol dl td th select article section div main aside nav".split())
 
-#: Elements and class words of page parts that are never the article.
+#: Elements and class words of page parts that are not the article.
 APART = frozenset("nav header footer aside form menu button select option head title dialog label fieldset".split())
 APART_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bars?|nav\w*|menus?|bread-?crumbs?|"
@@ -45,6 +45,7 @@ APART_WORDS = re.compile(
 )
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ARTICLE = frozenset(("article", "main"))
+MARKS = "!~?"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -54,6 +55,7 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.IGNORECASE)
+DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
 POINTS = re.compile(r"[.,;:!?。，；：！？…]")
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.IGNORECASE) for tag in RAW}
@@ -63,9 +65,10 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, .
     """(block number, path number, text) of every text node, and the tag paths.
 
     A path step is the element's name, after ``!`` where the element stands apart from
-    articles by name, class, id or role.
+    articles by name or role; ``~`` by a whole class or id, ``?`` by a part of one, the words following.
     """
     stack: list[str] = []
+    names: list[str] = []
     nodes: list[tuple[int, int, str]] = []
     numbers: dict[tuple[str, ...], int] = {}
     block, at, path = 0, 0, -1
@@ -86,9 +89,10 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, .
         if m["close"] or m["close2"]:
             if tag in BLOCKS or tag == "br":
                 block += 1
-            if tag in stack or "!" + tag in stack:
-                while stack.pop().lstrip("!") != tag:
+            if tag in names:
+                while names.pop() != tag:
                     pass
+                del stack[len(names) :]
                 path = -1
             continue
         if tag == "br":
@@ -103,34 +107,66 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, .
         if tag in BLOCKS:
             block += 1
             path = -1
-            if tag in ENDS_P and stack and "p" in stack[-8:]:
+            if tag in ENDS_P and stack and "p" in names[-8:]:
                 for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i].lstrip("!")
+                    name = names[i]
                     if name == "p":
-                        del stack[i:]
+                        del stack[i:], names[i:]
                         break
                     if name in SCOPES:
                         break
             closes = SIBLINGS.get(tag)
             if closes:
                 for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i].lstrip("!")
+                    name = names[i]
                     if name in closes:
-                        del stack[i:]
+                        del stack[i:], names[i:]
                         break
                     if name in SCOPES:
                         break
-        apart = tag in APART
-        if rest and not apart and tag not in ("html", "body"):
+        mark, said = "!" if tag in APART else "", ""
+        if rest and not mark and tag not in ("html", "body"):
             for a in ATTRIBUTE.finditer(rest):
                 name, value = (a[1] or a[5]).lower(), a[2] or a[3] or a[4] or ""
-                if name == "hidden" or (value.lower() in APART_ROLES if name == "role" else APART_WORDS.search(value)):
-                    apart = True
-        stack.append("!" + tag if apart else tag)
+                if name == "hidden" or (name == "role" and value.lower() in APART_ROLES):
+                    mark = "!"
+                elif name != "role" and mark != "!" and tag not in ARTICLE and APART_WORDS.search(value):
+                    whole = any(APART_WORDS.fullmatch(word) for word in value.split())
+                    mark = "~" if whole or mark == "~" else "?"
+                    said += " " + DIGITS.sub("", value)
+        # Elements under different words are different paths.
+        stack.append(mark + tag if mark == "!" else mark + tag + said)
+        names.append(tag)
         path = -1
     return nodes, list(numbers)
 
 
+def held_text(live: list[int], paths: list[tuple[str, ...]], chars: list[int]) -> dict[tuple[str, ...], list[int]]:
+    """Characters, and those of article elements, below every marked step and (key ``()``) in all."""
+    held: dict[tuple[str, ...], list[int]] = {(): [0, 0]}
+    for i in live:
+        inner = chars[i] * (not ARTICLE.isdisjoint(paths[i]))
+        for prefix in [(), *(paths[i][: d + 1] for d, step in enumerate(paths[i]) if step[0] in MARKS)]:
+            own = held.setdefault(prefix, [0, 0])
+            own[0] += chars[i]
+            # Of an article around the element nothing is held by it.
+            own[1] += inner * (ARTICLE.isdisjoint(prefix))
+    return held
+
+
+def named_parts(path: tuple[str, ...], held: dict[tuple[str, ...], list[int]]) -> tuple[bool, bool]:
+    """Whether the path lies below an element set apart by a whole word, and by a part of one.
+
+    Elements that hold most of the page's text, or of its articles, are what the page is about.
+    """
+    marks = {
+        step[0] for d, step in enumerate(path)
+        if step[0] in MARKS and 4 * held[path[: d + 1]][0] < 3 * held[()][0]
+        and (not held[()][1] or 2 * held[path[: d + 1]][1] < held[()][1])
+    }
+    return "~" in marks, "?" in marks
+
+
 def content_paths(nodes: list[tuple[int, int, str]], paths: list[tuple[str, ...]], spread: float = 0.5) -> set[int]:
     """Numbers of the paths that hold the article."""
     n = len(paths)
@@ -141,10 +177,16 @@ def content_paths(nodes: list[tuple[int, int, str]], paths: list[tuple[str, ...]
             chars[path] += size
             points[path] += len(POINTS.findall(text))
             count[path] += 1
-    apart = [any(step[0] == "!" for step in p) for p in paths]
-    live = [i for i in range(n) if count[i] and not apart[i]]
+    live = [i for i in range(n) if count[i] and not any(step[0] == "!" for step in paths[i])]
     if not live:
         return set()
+    named = [named_parts(paths[i], held) for held in [held_text(live, paths, chars)] for i in live]
+    # Where whole words leave nothing, the ratios decide alone.
+    parted = {i for i, (whole, _) in zip(live, named, strict=True) if whole}
+    lowered = {i for i, (_, part) in zip(live, named, strict=True) if part}
+    if len(parted) < len(live):
+        live = [i for i in live if i not in parted]
+    paths = [tuple(step.lstrip(MARKS).split(" ")[0] for step in p) for p in paths]
     total = sum(chars[i] for i in live)
     within = {i for i in live if not ARTICLE.isdisjoint(paths[i])}
     # Ratios per text node, then a mean over paths weighted by the shared part of their steps.
@@ -176,6 +218,8 @@ def content_paths(nodes: list[tuple[int, int, str]], paths: list[tuple[str, ...]
     raised = 1 + 3 * sum(chars[i] for i in within) / total
     for i in within:
         score[i] *= raised
+    for i in lowered.intersection(live):
+        score[i] /= 8
     mean = sum(score[i] * chars[i] for i in live) / total
     return {i for i in live if score[i] >= mean / 4}
 

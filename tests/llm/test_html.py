@@ -59,3 +59,15 @@ def test_threshold_holds_within_articles():
     page = f"<html><body><article><h1>Headline</h1>{BODY}<section><div><ul>{links}</ul></div></section></article></body></html>"
     got = main_text(page)
     assert got.count("Sentence") == 8 and "y7" not in got
+
+
+def test_layout_words_in_classes_do_not_empty_the_page():
+    want = main_text(f"<html><body><article><h1>Headline</h1>{BODY}</article></body></html>")
+    assert want.count("Sentence") == 8
+    aside = '<div class="sidebar"><p>Popular today, all of it.</p></div><div class="site-header"><p>Our site, since 1999.</p></div>'
+    for wrapper in ("has-sidebar", "content-sidebar-wrap", "header-fixed", "search", "legal notice"):
+        assert main_text(f'<html><body><div class="{wrapper}"><article><h1>Headline</h1>{BODY}</article></div>{aside}</body></html>') == want
+        assert main_text(f'<html><body><div class="{wrapper}"><h1>Headline</h1>{BODY}</div>{aside}</body></html>') == want
+    for own in ("comments-open", "category-legal", "tag-search", "related"):
+        assert main_text(f'<html><body><article class="post {own}"><h1>Headline</h1>{BODY}</article>{aside}</body></html>') == want
+    assert main_text('<div class="promo"><p>All, there is.</p></div>') == "All, there is."
