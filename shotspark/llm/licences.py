@@ -1,6 +1,6 @@
 """License notices in text blocks: an exact set-similarity join with templates.
 
-A template is the set of its words.  A block, a run of words of one line, meets it when it
+A template is the set of its words.  A block, a run of words or a line, meets it when it
 holds at least ``containment`` of that set.  Words are ordered by their frequency over all
 texts, rarest first.  A block that meets a template of ``n`` words, of which ``need`` must be
 there, holds one of the template's ``n - need + 1`` rarest words (prefix filter), has ``need``
@@ -89,29 +89,33 @@ class TemplateIndex:
         """Label to best containment over all blocks of a text.
 
         Blocks are lines, or where a line is longer than ``span`` words, windows of that many
-        words that overlap by half, so that every template-sized run lies in one of them.
+        words that overlap by half; and such windows over the words of the whole text, so that
+        every template-sized run lies in one of them however it is wrapped.
         """
         found: dict[str, float] = {}
         rank = self.rank
-        for line in text.translate(UPPER).split(b"\n"):
+        half = self.span // 2
+        blocks: dict[tuple[int, int], list[int]] = defaultdict(list)
+        before = 0
+        for number, line in enumerate(text.translate(UPPER).split(b"\n"), 1):
             words = WORD.findall(line)
-            hits = [(i, rank[w]) for i, w in enumerate(words) if w in rank]
-            if not hits:
-                continue
-            half = self.span // 2
-            blocks: dict[int, list[int]] = defaultdict(list)
-            for i, token in hits:
-                at = i // half
-                blocks[at].append(token)
-                if at:
-                    blocks[at - 1].append(token)
-            for block in blocks.values():
-                met = self.matches(block)
-                if met:
-                    # Of the templates that a block meets, it is named after the fullest, then largest.
-                    template = max(met, key=lambda t: (met[t], len(self.sets[t]), -t))
-                    label = self.labels[template]
-                    found[label] = max(found.get(label, 0.0), met[template])
+            for i, word in enumerate(words):
+                token = rank.get(word)
+                if token is None:
+                    continue
+                for of, place in ((number, i), (0, before + i)):
+                    at = place // half
+                    blocks[of, at].append(token)
+                    if at:
+                        blocks[of, at - 1].append(token)
+            before += len(words)
+        for block in {tuple(sorted(set(block))) for block in blocks.values()}:
+            met = self.matches(block)
+            if met:
+                # Of the templates that a block meets, it is named after the fullest, then largest.
+                template = max(met, key=lambda t: (met[t], len(self.sets[t]), -t))
+                label = self.labels[template]
+                found[label] = max(found.get(label, 0.0), met[template])
         return found
 
 

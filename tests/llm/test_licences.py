@@ -53,3 +53,15 @@ def test_filters_lose_no_match():
                 if len(own & set(block)) >= index.need[t]
             }
             assert index.matches(block) == want
+
+
+def test_notices_wrapped_over_lines():
+    index = TemplateIndex(TEMPLATES, {}, 0.8)
+    wrapped = {
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy",
+        "apache": "// Licensed under the Apache\n// License, Version\n// 2.0 (the",
+    }
+    for label, text in wrapped.items():
+        for before in ("", "word " * 15 + "\n", "some other text\n\n" * 7):
+            assert label in index.best((before + text).encode())
