@@ -85,6 +85,21 @@ class TemplateIndex:
                 checked[template] = share / size if share >= need else 0.0
         return {t: share for t, share in checked.items() if share}
 
+    def told_apart(self, block: list[int]) -> dict[int, float]:
+        """The templates a block meets, without those whose words are all among what better ones matched.
+
+        Better is what matched more words; of equal matches, the fullest template, then the largest.
+        """
+        met = self.matches(block)
+        if len(met) < 2:
+            return met
+        words = {t: self.sets[t].intersection(block) for t in met}
+        better = {t: (len(words[t]), met[t], len(self.sets[t]), -t) for t in met}
+        return {
+            t: share for t, share in met.items()
+            if not words[t] <= frozenset().union(*(words[u] for u in met if better[t] < better[u]))
+        }
+
     def best(self, text: bytes) -> dict[str, float]:
         """Label to best containment over all blocks of a text.
 
@@ -110,12 +125,9 @@ class TemplateIndex:
                         blocks[of, at - 1].append(token)
             before += len(words)
         for block in {tuple(sorted(set(block))) for block in blocks.values()}:
-            met = self.matches(block)
-            if met:
-                # Of the templates that a block meets, it is named after the fullest, then largest.
-                template = max(met, key=lambda t: (met[t], len(self.sets[t]), -t))
+            for template, share in self.told_apart(block).items():
                 label = self.labels[template]
-                found[label] = max(found.get(label, 0.0), met[template])
+                found[label] = max(found.get(label, 0.0), share)
         return found
 
 

@@ -65,3 +65,14 @@ def test_notices_wrapped_over_lines():
     for label, text in wrapped.items():
         for before in ("", "word " * 15 + "\n", "some other text\n\n" * 7):
             assert label in index.best((before + text).encode())
+
+
+def test_all_notices_of_a_block():
+    index = TemplateIndex(TEMPLATES, {}, 0.8)
+    text = {label: t for label, t in TEMPLATES}
+    labels = lambda *names: set(index.best(". ".join(text[n] for n in names).encode()))
+    assert labels("cc-by-sa", "cc0") == {"cc-by-sa", "cc0"}
+    assert labels("mpl", "lgpl") == {"mpl", "lgpl"}
+    assert labels("bsd", "cc-by") == {"bsd", "cc-by"}
+    for label in text:
+        assert labels(label) == {label}
