@@ -86,15 +86,15 @@ def fit_preferences(
     ``features`` has ``features ARRAY<DOUBLE>`` and the label.  Every sampled record of a class
     meets ``opponents`` drawn records of the other; each pair says that the first is
     preferred, and logistic loss on the difference of their features is minimised by Newton
-    steps.  The threshold is the quantile of sampled scores at the share of unpreferred
-    records.  The fit reads at most ``sample_rows`` labelled rows, those with the smallest
-    hash of their features; rows with another label or none are left out.  Without both
+    steps.  The threshold is the quantile of the scores of all labelled rows at the share of
+    unpreferred ones.  The fit reads at most ``sample_rows`` labelled rows, those with the
+    smallest hash of key, features and label, so that copies of a text are drawn one by one; rows with another label or none are left out.  Without both
     classes all weights are zero and every score is 0.5.
     """
+    labelled = features.filter(F.col(ranked).isin(0, 1))
     rows = (
-        features.filter(F.col(ranked).isin(0, 1))
-        .select("features", F.col(ranked).cast("int").alias("label"))
-        .orderBy(F.xxhash64("features"), "label")
+        labelled.select("features", F.col(ranked).cast("int").alias("label"), F.xxhash64(*features.columns).alias("drawn"))
+        .orderBy("drawn", "label")
         .limit(sample_rows)
         .collect()
     )
@@ -121,9 +121,15 @@ def fit_preferences(
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    scores = np.sort(z @ w)
-    worse = int((y == 0).sum())
-    threshold = float(scores[worse - 1] + scores[worse]) / 2
+    slope = w / scale
+    total = F.lit(-float(slope @ centre))
+    for i, a in enumerate(slope.tolist()):
+        total = total + F.lit(a) * F.col("features")[i]
+    share = labelled.agg(F.avg((F.col(ranked) == 0).cast("double"))).first()[0]
+    low, high = labelled.agg(
+        F.percentile_approx(total, [share, min(1.0, share + 1e-5)], 100_000)
+    ).first()[0]
+    threshold = (low + high) / 2
     return Preference(tuple(centre.tolist()), tuple(scale.tolist()), tuple(w.tolist()), threshold)
 
 
@@ -140,7 +146,7 @@ def score_payloads(
     Only the features see the text, and only the label of a row in ``labels`` is ever used.
     """
     features = durable(payload_features(records, key, text))
-    model = fit_preferences(features.join(labels.select(key, ranked), key), ranked, sample_rows)
+    model = fit_preferences(durable(features.join(labels.select(key, ranked), key)), ranked, sample_rows)
     score = model.score(F.col("features"))
     return features.select(key, score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
@@ -155,7 +161,7 @@ def keep_preferred(
 
     Texts are measured again where they lie instead of being sent through a join.
     """
-    labelled = payload_features(records, key, text).join(labels.select(key, ranked), key)
+    labelled = durable(payload_features(records, key, text).join(labels.select(key, ranked), key))
     model = fit_preferences(labelled, ranked, sample_rows)
     slope = np.array(model.weights) / np.array(model.scale)
     base = -model.threshold - float(slope @ np.array(model.centre))

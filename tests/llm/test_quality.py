@@ -43,3 +43,12 @@ def test_odd_rows(spark):
 
 def test_features_have_names_and_fixed_length():
     assert len(text_features("")) == len(text_features("Ab. c")) == len(FEATURES)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    texts = {1: "A plain text of words, as people write it.", 0: "XX## YY$$ ZZ!! 00 11 22"}
+    rows = [(f"e{i}", texts[i % 2], i % 2) for i in range(400)]
+    records = spark.createDataFrame([r[:2] for r in rows], "source_event_id string, payload string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "source_event_id string, quality int")
+    got = {r.source_event_id: r.predicted for r in score_payloads(records, labels, sample_rows=60).collect()}
+    assert got == {k: q for k, _, q in rows}
