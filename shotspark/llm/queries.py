@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import archives, html, leaks, licences, near, neighbours, packing, passages, personal, quality, tokens
+from shotspark.llm import alignment, archives, html, leaks, licences, near, neighbours, packing, passages, personal, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +90,22 @@ def op10_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = alignment.align_payloads(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES),
+        key="doc_id", text="text", digest=True,
+    )
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
+#: The two vocabularies of op11.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES = {
     "op1_nearest_frames": op1_nearest_frames,
@@ -106,6 +118,7 @@ QUERIES = {
     "op8_archive_pages": op8_archive_pages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_find_personal_data": op10_find_personal_data,
+    "op11_align_tokens": op11_align_tokens,
 }
 #: Base32 letters come from the hexadecimal digest, four for every five digits.
 ORACLE: dict[str, str] = {
