@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm import alignment, archives, html, leaks, licences, near, neighbours, packing, passages, personal, quality, tokens
+from shotspark.llm import (
+    alignment,
+    archives,
+    html,
+    languages,
+    leaks,
+    licences,
+    loops,
+    near,
+    neighbours,
+    packing,
+    passages,
+    personal,
+    quality,
+    tokens,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +115,45 @@ def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages.identify_languages(
+        table(spark, sf_dir, "documents"), key="doc_id", text="text", language="lang", learn=~held_out()
+    )
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op13_find_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a video, a word the label of a frame; a tenth of the documents is made to loop."""
+    found = loops.find_loops(
+        table(spark, sf_dir, "documents").select("doc_id", looped().alias("words")), key="doc_id", labels="words"
+    )
+    spelt = F.transform("loops", lambda r: F.concat_ws(",", r["start_frame"], r["length"], r["period"]))
+    longest = F.array_min(
+        F.transform("loops", lambda r: F.struct((-r["length"]).alias("less"), r["start_frame"].alias("start"), r["period"].alias("period")))
+    )
+    length, period = -F.col("longest.less"), F.col("longest.period")
+    text = F.array_join(F.transform(spelt, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("loops").cast("long").alias("n_runs"), F.col("longest.start").alias("start"),
+        length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("once").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def looped() -> Column:
+    """The text; where the id's checksum ends in 0, its words from one place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    unit = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    again = F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int")))
+    made = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col("text"))
+
+
 #: Pruning of op1: 1 is exact search.
 FACTOR = 2.0
 #: Vocabulary of op2 and the id that ends a document.
@@ -119,6 +173,8 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_find_personal_data": op10_find_personal_data,
     "op11_align_tokens": op11_align_tokens,
+    "op12_identify_languages": op12_identify_languages,
+    "op13_find_loops": op13_find_loops,
 }
 #: Base32 letters come from the hexadecimal digest, four for every five digits.
 ORACLE: dict[str, str] = {

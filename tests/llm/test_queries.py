@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import test_alignment
+import test_loops
 
 import __spark_entry__ as entry
 from shotspark.llm.queries import ORACLE, QUERIES
@@ -21,7 +23,7 @@ def given(sf):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, sf, given):
@@ -83,6 +85,56 @@ def test_op7(spark, sf, given):
         assert (got.n_removed[i], got.kept_sha256[i]) == (cover.sum(), hashlib.sha256(kept).hexdigest())
 
 
+def test_op11(spark, sf, given):
+    docs = given("documents")
+    want = test_alignment.plain(docs.text.tolist())
+    got = QUERIES["op11_align_tokens"](spark, sf).collect()
+    digest = lambda g: hashlib.sha256(g.encode()).hexdigest() if g else ""
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert sorted((r.doc_id, *(r[c] for c in names)) for r in got) == sorted(
+        (i, *w[:-1], digest(w[-1])) for i, w in zip(docs.doc_id.tolist(), want, strict=True)
+    )
+
+
+def test_op12_on_held_out_rows(spark, sf, given):
+    docs = given("documents")
+    got = QUERIES["op12_identify_languages"](spark, sf).toPandas().merge(docs, on="doc_id")
+    assert len(got) == len(docs) and got.score.between(0, 1).all()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
+    lettered = got.text.fillna("").str.contains(r"[^\W\d_]")
+    assert ((got.lang_pred == "und") == ~lettered).all()
+    held = got[got.held_out & lettered & got.lang.notna()]
+    assert (held.lang_pred == held.lang).mean() >= 0.97
+
+
+def test_op13(spark, sf, given):
+    got = {r.doc_id: r for r in QUERIES["op13_find_loops"](spark, sf).collect()}
+    docs = given("documents")
+    assert len(got) == len(docs)
+    hexed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    looped = 0
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n, h = len(words), zlib.crc32(str(i).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+        # Documents without a repeated window of six words cannot hold a run of twelve.
+        windows = [tuple(words[k : k + 6]) for k in range(n - 5)]
+        runs = test_loops.plain_runs(words, 12) if len(set(windows)) < len(windows) else []
+        looped += bool(runs)
+        best = min(((-m, s, q) for s, m, q in runs), default=None)
+        start, length, period = (best[1], -best[0], best[2]) if best else (None,) * 3
+        own = got[i]
+        assert (own.n_runs, own.start, own.length, own.period) == (len(runs), start, length, period)
+        assert own.exponent_milli == (1000 * length // period if best else None)
+        assert own.runs_sha256 == hexed("".join(f"{s},{m},{q}\n" for s, m, q in runs))
+        assert own.collapsed_sha256 == hexed(" ".join(test_loops.plain_once(words, runs)))
+    assert looped > 10
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_twins(spark, sf, name):
     con = duckdb.connect()
