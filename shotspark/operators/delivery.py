@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotspark.operators.ordered import BLOCK, TIME_BLOCK_US, scan
-from shotspark.session import durable
 
 CHUNK = ["task_id", "chunk_index"]
 
@@ -41,74 +41,197 @@ def contiguous_dispatch(cuts: DataFrame, *, block: int = BLOCK) -> DataFrame:
 
 # ---------------------------------------------------------------- ordered publication
 
+#: Chunk indexes per block of the publication order.
+PUBLISH_BLOCK = 4_096
+_NODE = ["entry_us", "entry_id", "exit_us", "exit_id"]
 
-def _publish_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold over rows sorted by (task, order); the state is one number per task."""
-    task, expected = None, 0
-    for pdf in batches:
-        tasks, wanted = pdf["task_id"].to_numpy(), pdf["chunk_index"].to_numpy()
-        outcome = np.empty(len(pdf), dtype=object)
-        for i in range(len(pdf)):
-            if tasks[i] != task:
-                task, expected = tasks[i], 0
-            step = wanted[i] - expected
-            outcome[i] = "published" if step == 0 else "duplicate" if step < 0 else "rejected"
-            expected += step == 0
-        yield pdf.assign(outcome=outcome)
-
-
-def _publish_times(attempts: DataFrame, block: int) -> DataFrame:
-    """Publication point of every chunk of very large tasks, without a sequential pass.
-
-    A chunk cannot be published before any earlier chunk's first usable attempt.  Starting
-    from the running maximum of first attempts, each round moves every chunk to its first
-    attempt at or after its bound and takes the running maximum again; bounds only grow and
-    never pass the true point, so the fixed point is exact.
-    """
-    at = attempts.select(*CHUNK, F.struct("us", "event_id").alias("at"))
-
-    def bound(points: DataFrame) -> DataFrame:
-        rows = scan(points, ["task_id"], F.col("chunk_index"), width=block, rank="__n", maxes={"bound": F.col("at")})
-        return durable(rows.where(F.col("__n") == F.col("chunk_index")).select(*CHUNK, "bound"))
 
-    state = bound(at.groupBy(*CHUNK).agg(F.min("at").alias("at")))
-    while True:
-        moved = at.join(state, CHUNK).where("at >= bound").groupBy(*CHUNK).agg(F.min("at").alias("at"))
-        following = bound(moved)
-        if state.exceptAll(following).isEmpty():
-            return following
-        state = following
+class _Steps:
+    """Publication as chains: where index ``i`` of a group was left, ``i + 1`` goes on at the
+    first of its nodes after that.
 
+    A node is taken at ``entry`` and leads on at ``leave``.  For a chunk both are the moment of an
+    attempt; for a block they are an attempt of its first chunk and the publication of its last.
+    ``leads`` tells whether a node leads on at all.  Nodes are kept by group, index and entry.
+    """
 
-def ordered_publish(attempts: DataFrame, *, fold_limit: int = 1_000_000, block: int = BLOCK) -> DataFrame:
+    def __init__(self, group: np.ndarray, index: np.ndarray, entry: np.ndarray, leave: np.ndarray, leads: np.ndarray):
+        moments = np.concatenate([entry, leave])
+        rank, n = _ranks(*moments.T), len(index)
+        self.order = np.lexsort((rank[:n], index, group))
+        self.group, self.index, self.rank = group[self.order], index[self.order], rank[:n][self.order]
+        self.entry, self.leave = entry[self.order], leave[self.order]
+        new = np.ones(n, bool)
+        new[1:] = (self.group[1:] != self.group[:-1]) | (self.index[1:] != self.index[:-1])
+        #: Number of each (group, index), and the first node of every number.
+        self.number = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        span = len(moments) + 1
+        following = np.searchsorted(self.number * span + self.rank, (self.number + 1) * span + rank[n:][self.order], "right")
+        at = np.minimum(following, max(0, n - 1))
+        real = leads[self.order] & (following < n)
+        real &= (self.group[at] == self.group) & (self.index[at] == self.index + 1) if n else real
+        #: The node after each one, ``n`` after the last of a chain.
+        self.following = np.where(real, following, n)
+
+    def last(self) -> np.ndarray:
+        """Where the chain from each node ends."""
+        n = len(self.index)
+        jump = np.where(self.following < n, self.following, np.arange(n))
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                return jump
+            jump = further
+
+    def chains(self, starts: np.ndarray) -> np.ndarray:
+        """All nodes of the chains that begin at ``starts``, in which no two of them lie."""
+        n = len(self.index)
+        jump, path = np.append(self.following, n), starts
+        while True:
+            further = jump[path]
+            further = further[further < n]
+            if not len(further):
+                return path
+            path = np.concatenate([path, further])
+            jump = jump[jump]
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense rank of rows by several columns, the first one first."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= np.diff(k[order]) != 0
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether each row begins a new group of sorted rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        codes = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of about ``rows`` that never cut a group, each with its group numbers."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        new = _changes(table, keys)
+        cut = int(np.flatnonzero(new)[-1])
+        if cut:
+            yield table.slice(0, cut), np.cumsum(new[:cut]) - 1
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.cumsum(_changes(table, keys)) - 1
+
+
+def _moments(table: pa.Table, us: str, event: str) -> np.ndarray:
+    return np.stack([pc.fill_null(table[c], 0).to_numpy().astype(np.int64) for c in (us, event)], 1)
+
+
+def _attempt_steps(table: pa.Table, group: np.ndarray) -> _Steps:
+    at = _moments(table, "us", "event_id")
+    return _Steps(group, table["chunk_index"].to_numpy().astype(np.int64), at, at, np.ones(len(at), bool))
+
+
+def ordered_publish(attempts: DataFrame, *, block: int = PUBLISH_BLOCK) -> DataFrame:
     """H3: in arrival order, an attempt below the expected chunk is a duplicate, the expected
     chunk is published and advances the sequence, and a later one is rejected.
 
-    Needs ``task_id, chunk_index, arrived_at, event_id``; adds ``outcome``.  Tasks up to
-    ``fold_limit`` attempts stream through a fold; larger ones get their publication points
-    by fixed-point rounds that spread over the cluster.
+    Needs ``task_id, chunk_index, arrived_at, event_id`` with distinct ``(arrived_at,
+    event_id)`` per task; adds ``outcome``.  Negative chunks are duplicates, attempts without a
+    chunk are rejected.
+
+    Publication is a composition of functions: a chunk maps the moment its predecessor was
+    published to its own first attempt after that.  A block of ``block`` consecutive chunks
+    maps each attempt of its first chunk to the publication of its last, so its summary is as
+    small as one chunk.  Summaries of a task are composed in order, which gives the moment each
+    block is entered, and then every block replays its own attempts.  Blocks of one task
+    spread over the cluster, and nothing walks attempt by attempt; what must fit into one task is
+    one block with the retries of its chunks.
     """
-    rows = attempts.withColumn("us", F.unix_micros(F.col("arrived_at").cast("timestamp")))
-    schema = T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())])
-
-    def folded(part: DataFrame) -> DataFrame:
-        ordered = part.repartition("task_id").sortWithinPartitions("task_id", "us", "event_id")
-        return ordered.mapInPandas(_publish_batches, schema).drop("us")
-
-    big = rows.groupBy("task_id").count().where(F.col("count") > fold_limit).select("task_id")
-    if big.isEmpty():
-        return folded(rows)
-    big = durable(big)
-    large = durable(rows.join(big, "task_id", "left_semi"))
-    when = _publish_times(large, block)
-    here = F.struct("us", "event_id")
-    outcome = (
-        F.when(F.col("bound").isNull() | (here < F.col("bound")), F.lit("rejected"))
-        .when(here == F.col("bound"), F.lit("published"))
-        .otherwise(F.lit("duplicate"))
+    rows = attempts.withColumns(
+        {
+            "us": F.unix_micros(F.col("arrived_at").cast("timestamp")),
+            # Attempts outside the sequence are spread over blocks below zero.
+            "__block": F.when(F.col("chunk_index") >= 0, F.floor(F.col("chunk_index") / block).cast("bigint"))
+            .otherwise(-1 - F.pmod(F.xxhash64("event_id"), F.lit(1024))),
+        }
+    )
+    task, part = rows.schema["task_id"].dataType.simpleString(), ["task_id", "__block"]
+
+    def sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, part):
+            steps = _attempt_steps(table, group)
+            first = np.flatnonzero(steps.index % block == 0)
+            end = steps.last()[first]
+            whole = steps.index[end] % block == block - 1
+            columns = [*steps.entry[first].T, *steps.leave[end].T]
+            values = [pa.array(c, pa.int64(), mask=m) for c, m in zip(columns, (None, None, ~whole, ~whole), strict=True)]
+            keys = table.select(part).take(pa.array(steps.order[first])).combine_chunks()
+            yield from pa.table([*keys.columns, *values], names=[*part, *_NODE]).to_batches()
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, ["task_id"]):
+            leads = table["exit_us"].is_valid().to_numpy()
+            steps = _Steps(
+                group, table["__block"].to_numpy().astype(np.int64), _moments(table, "entry_us", "entry_id"),
+                _moments(table, "exit_us", "exit_id"), leads,
+            )
+            path = steps.chains(steps.first[steps.index[steps.first] == 0])
+            task_ids = table["task_id"].take(pa.array(steps.order[path])).combine_chunks()
+            moments = [pa.array(c, pa.int64()) for c in steps.entry[path].T]
+            yield from pa.table(
+                [task_ids, pa.array(steps.index[path], pa.int64()), *moments], names=[*part, "us", "event_id"]
+            ).to_batches()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, part):
+            entered = table["__entered"].to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+            own = table.filter(pa.array(~entered))
+            outcome = np.full(own.num_rows, "rejected", dtype=object)
+            chunk = pc.fill_null(own["chunk_index"], np.iinfo(np.int64).max).to_numpy()
+            outcome[chunk < 0] = "duplicate"
+            inside = np.flatnonzero(own["__block"].to_numpy() >= 0)
+            steps = _attempt_steps(own.take(pa.array(inside)), group[~entered][inside])
+            # Entries are attempts of a block's first chunk: look them up among those.
+            moments = _moments(table.filter(pa.array(entered)), "us", "event_id")
+            known = _ranks(
+                np.concatenate([steps.group, group[entered]]), *np.concatenate([steps.entry, moments]).T
+            )
+            place = dict(zip(known[: len(steps.index)].tolist(), range(len(steps.index)), strict=True))
+            path = steps.chains(np.array([place[r] for r in known[len(steps.index) :].tolist()], np.int64))
+            # Publication points of chunks, beyond all attempts where there is none.
+            point = np.full(len(steps.first), np.iinfo(np.int64).max)
+            point[steps.number[path]] = steps.rank[path]
+            due = point[steps.number]
+            outcome[inside[steps.order]] = np.where(steps.rank == due, "published", np.where(steps.rank > due, "duplicate", "rejected"))
+            done = own.drop_columns(["__entered"]).append_column("outcome", pa.array(outcome, pa.string()))
+            yield from done.combine_chunks().to_batches()
+
+    chunked = rows.where("__block >= 0").select(*part, "chunk_index", "us", "event_id")
+    node = ", ".join(f"{c} bigint" for c in _NODE)
+    blocks = sorted_by(chunked, part).mapInArrow(summaries, f"task_id {task}, __block bigint, {node}")
+    entered = sorted_by(blocks, ["task_id"]).mapInArrow(entries, f"task_id {task}, __block bigint, us bigint, event_id bigint")
+    marked = rows.withColumn("__entered", F.lit(False)).unionByName(
+        entered.withColumn("__entered", F.lit(True)), allowMissingColumns=True
     )
-    spread = large.join(when, CHUNK, "left").withColumn("outcome", outcome).drop("us", "bound")
-    return folded(rows.join(big, "task_id", "left_anti")).unionByName(spread)
+    schema = T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())])
+    return sorted_by(marked, part).mapInArrow(replay, schema).drop("us", "__block")
 
 
 # ---------------------------------------------------------------- gates and completeness

@@ -5,7 +5,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shotspark.catalog import delivery as cat_delivery
 from shotspark.functions import coords, paths
 from shotspark.operators import admission, delivery, metrics, results, status
 from shotspark.sources import files
@@ -206,18 +205,11 @@ def test_timings(spark):
 def test_a_future_chunk_is_rejected(spark):
     rows = [(1, c, n * 1.0, n) for n, c in enumerate([0, 1, 2, 3, 6, 4, 3])]
     a = spark.createDataFrame(rows, "task_id BIGINT, chunk_index BIGINT, s DOUBLE, event_id BIGINT").select("task_id", "chunk_index", F.timestamp_seconds("s").alias("arrived_at"), "event_id")
-    for limit in (0, 1_000_000):
-        got = {r.event_id: r.outcome for r in delivery.ordered_publish(a, fold_limit=limit).collect()}
+    for block in (1, 2, 4_096):
+        got = {r.event_id: r.outcome for r in delivery.ordered_publish(a, block=block).collect()}
         assert [got[i] for i in range(7)] == ["published"] * 4 + ["rejected", "published", "duplicate"]
 
 
-def test_publication_rounds_equal_the_fold(spark, sf):
-    a = cat_delivery.attempts(spark, sf)
-    cols = ["task_id", "chunk_index", "event_id", "outcome"]
-    fold, rounds = (delivery.ordered_publish(a, fold_limit=n, block=3).select(*cols).collect() for n in (1_000_000, 0))
-    assert sorted(map(tuple, fold)) == sorted(map(tuple, rounds)) and {r.outcome for r in fold} == {"published", "duplicate", "rejected"}
-
-
 def test_a_task_keeps_its_order_over_partitions(spark):
     m = spark.createDataFrame([(None if i % 5 == 4 else str(i % 3), i) for i in range(200)], "task_id STRING, event_id BIGINT")
     out = delivery.partition_by_task(m).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
