@@ -95,25 +95,77 @@ SERIES = {
 
 
 def evaluate_alerts(spark, d):
-    s = samples(spark, d)
-    parts = None
+    own = None
     for series, (worker, expr) in SERIES.items():
-        one = s.where(F.col("worker") == worker).select(
-            F.lit(series).alias("series"), "us", "event_id", F.expr(expr).cast("double").alias("value")
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return mt.evaluate_alerts(parts)
+        one = F.struct(F.lit(series).alias("series"), F.expr(expr).cast("double").alias("value"))
+        test = F.col("worker") == worker
+        own = [*(own or []), F.when(test, one)]
+    made = samples(spark, d).select("us", "event_id", F.explode(F.array_compact(F.array(*own))).alias("s"))
+    return mt.evaluate_alerts(made.select("s.series", "us", "event_id", "s.value"))
 
 
 QUERIES["evaluate_alerts"] = evaluate_alerts
+# The rules once more, in full, so that a wrong entry of the library's table shows.
 _RULES = "\nUNION ALL ".join(
-    f"""SELECT '{r.name}' AS alert, '{r.severity}' AS severity, min(us) AS since_us, max(us) AS until_us FROM (SELECT us, n - row_number() OVER (ORDER BY n) AS g FROM (
-    SELECT epoch_us(ts) AS us, CAST({SERIES[r.series][1]} AS DOUBLE) AS value, row_number() OVER (ORDER BY ts, event_id) AS n FROM metric_samples WHERE worker = '{SERIES[r.series][0]}') a
-    WHERE {r.predicate}) b GROUP BY g HAVING max(us) - min(us) >= {r.seconds}000000"""
-    for r in mt.ALERT_RULES
+    f"""SELECT '{name}' AS alert, '{severity}' AS severity, min(us) AS since_us, max(us) AS until_us FROM (SELECT us, n - row_number() OVER (ORDER BY n) AS g FROM (
+    SELECT epoch_us(ts) AS us, CAST({SERIES[series][1]} AS DOUBLE) AS value, row_number() OVER (ORDER BY ts, event_id) AS n FROM metric_samples WHERE worker = '{SERIES[series][0]}') a
+    WHERE {predicate}) b GROUP BY g HAVING max(us) - min(us) >= {us}"""
+    for name, series, predicate, us, severity in (
+        ("BackendUnavailable", "backend_up", "value = 0", 60_000_000, "critical"),
+        ("RedisUnavailable", "redis_up", "value = 0", 60_000_000, "critical"),
+        ("HostMemoryPressure", "memory_used_ratio", "value > 0.90", 300_000_000, "warning"),
+        ("GPUHighTemperature", "gpu_temperature", "value > 85", 120_000_000, "warning"),
+        ("GPUMemoryPressure", "gpu_memory_used_ratio", "value > 0.92", 180_000_000, "warning"),
+        ("SharedMemoryPressure", "shm_used_ratio", "value > 0.85", 180_000_000, "warning"),
+        ("PipelineWorkerErrors", "worker_errors_increase", "value > 0", 60_000_000, "warning"),
+    )
 )
 ORACLE["evaluate_alerts"] = with_views(_RULES, "metric_samples")
 
+#: Events as scrapes of raw gauges and counters: metric and job by event type and id.
+RAW = """
+SELECT CASE event_type WHEN 'view' THEN 'up' WHEN 'click' THEN 'cv_worker_errors_total' WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'node_memory_MemAvailable_bytes' ELSE 'node_memory_MemTotal_bytes' END
+    WHEN 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'DCGM_FI_DEV_FB_USED' ELSE 'DCGM_FI_DEV_FB_FREE' END ELSE 'DCGM_FI_DEV_GPU_TEMP' END AS metric,
+    CASE event_type WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'backend' WHEN 1 THEN 'redis' ELSE 'other' END ELSE concat('w', CAST(event_id % 5 AS VARCHAR)) END AS job,
+    CASE WHEN event_id % 7 < 4 THEN 'a' ELSE 'b' END AS instance, floor(epoch(ts) / 1800) * 1800000000 AS us, event_id,
+    CASE event_type WHEN 'view' THEN CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END WHEN 'click' THEN floor(value) ELSE 10 + value END AS value FROM events"""
+
+
+def raw_metrics(spark, d):
+    e, kind, even = fx.table(spark, d, "events"), F.col("event_type"), F.col("event_id") % 2 == 0
+    pick = lambda a, b: F.when(even, a).otherwise(b)
+    return e.select(
+        F.when(kind == "view", "up").when(kind == "click", "cv_worker_errors_total")
+        .when(kind == "signup", pick("node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes"))
+        .when(kind == "purchase", pick("DCGM_FI_DEV_FB_USED", "DCGM_FI_DEV_FB_FREE")).otherwise("DCGM_FI_DEV_GPU_TEMP").alias("metric"),
+        F.when(kind == "view", F.element_at(F.array(F.lit("backend"), F.lit("redis"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")))
+        .otherwise(F.concat(F.lit("w"), (F.col("event_id") % 5).cast("string"))).alias("job"),
+        F.when(F.col("event_id") % 7 < 4, "a").otherwise("b").alias("instance"),
+        (F.floor(micros(F.col("ts")) / 1_800_000_000) * 1_800_000_000).alias("us"), "event_id",
+        F.when(kind == "view", F.when(F.col("user_id") % 3 == 0, 1.0).otherwise(0.0)).when(kind == "click", F.floor("value").cast("double"))
+        .otherwise(10 + F.col("value")).alias("value"),
+    )
+
+
+def alert_series(spark, d):
+    out = mt.alert_series(raw_metrics(spark, d), 4 * 3600)
+    return out.select("series", "instance", "us", "event_id", "value")
+
+
+QUERIES["alert_series"] = alert_series
+ORACLE["alert_series"] = f"""
+WITH raw AS (SELECT metric, job, instance, CAST(us AS BIGINT) AS us, event_id, CAST(value AS DOUBLE) AS value FROM ({RAW}) q),
+pairs AS (SELECT p.s, p.summed, instance, us, max(event_id) AS event_id, arg_max(value, event_id) FILTER (WHERE metric = p.x) AS a, arg_max(value, event_id) FILTER (WHERE metric = p.y) AS b
+    FROM raw JOIN (VALUES ('memory_used_ratio', 'node_memory_MemAvailable_bytes', 'node_memory_MemTotal_bytes', false), ('gpu_memory_used_ratio', 'DCGM_FI_DEV_FB_USED', 'DCGM_FI_DEV_FB_FREE', true)) p(s, x, y, summed)
+    ON metric IN (p.x, p.y) GROUP BY ALL),
+grown AS (SELECT us, event_id, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS inc FROM (
+    SELECT *, lag(value) OVER (PARTITION BY job, instance ORDER BY us, event_id) AS p FROM raw WHERE metric = 'cv_worker_errors_total') g),
+moments AS (SELECT us, max(event_id) AS event_id, sum(inc) AS inc FROM grown GROUP BY us)
+SELECT CASE job WHEN 'backend' THEN 'backend_up' ELSE 'redis_up' END AS series, instance, us, event_id, value FROM raw WHERE metric = 'up' AND job IN ('backend', 'redis')
+UNION ALL SELECT 'gpu_temperature', instance, us, event_id, value FROM raw WHERE metric = 'DCGM_FI_DEV_GPU_TEMP'
+UNION ALL SELECT s, instance, us, event_id, CASE WHEN summed THEN a / nullif(a + b, 0) ELSE 1 - a / nullif(b, 0) END FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL
+UNION ALL SELECT 'worker_errors_increase', NULL, us, event_id, sum(inc) OVER (ORDER BY us RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) FROM moments"""
+
 
 def duration_histogram(spark, d):
     e = fx.table(spark, d, "events").select(F.col("event_type").alias("worker"), F.round(F.col("value") * 100).cast("bigint").alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotspark.operators.blocks import sorted_by, whole_groups
 from shotspark.operators.ordered import BLOCK, TIME_BLOCK_US, scan
 
 CHUNK = ["task_id", "chunk_index"]
@@ -108,34 +109,6 @@ def _ranks(*keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Whether each row begins a new group of sorted rows."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        codes = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
-        new[1:] |= codes[1:] != codes[:-1]
-    return new
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in tables of about ``rows`` that never cut a group, each with its group numbers."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        new = _changes(table, keys)
-        cut = int(np.flatnonzero(new)[-1])
-        if cut:
-            yield table.slice(0, cut), np.cumsum(new[:cut]) - 1
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, np.cumsum(_changes(table, keys)) - 1
-
-
 def _moments(table: pa.Table, us: str, event: str) -> np.ndarray:
     return np.stack([pc.fill_null(table[c], 0).to_numpy().astype(np.int64) for c in (us, event)], 1)
 
@@ -171,11 +144,8 @@ def ordered_publish(attempts: DataFrame, *, block: int = PUBLISH_BLOCK) -> DataF
     )
     task, part = rows.schema["task_id"].dataType.simpleString(), ["task_id", "__block"]
 
-    def sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys)
-
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole_groups(batches, part):
+        for table, group in whole_groups(batches, part):
             steps = _attempt_steps(table, group)
             first = np.flatnonzero(steps.index % block == 0)
             end = steps.last()[first]
@@ -186,7 +156,7 @@ def ordered_publish(attempts: DataFrame, *, block: int = PUBLISH_BLOCK) -> DataF
             yield from pa.table([*keys.columns, *values], names=[*part, *_NODE]).to_batches()
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole_groups(batches, ["task_id"]):
+        for table, group in whole_groups(batches, ["task_id"]):
             leads = table["exit_us"].is_valid().to_numpy()
             steps = _Steps(
                 group, table["__block"].to_numpy().astype(np.int64), _moments(table, "entry_us", "entry_id"),
@@ -200,7 +170,7 @@ def ordered_publish(attempts: DataFrame, *, block: int = PUBLISH_BLOCK) -> DataF
             ).to_batches()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole_groups(batches, part):
+        for table, group in whole_groups(batches, part):
             entered = table["__entered"].to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
             own = table.filter(pa.array(~entered))
             outcome = np.full(own.num_rows, "rejected", dtype=object)

@@ -3,7 +3,7 @@
 A video, task or stream may hold a large share of all rows, so a plain
 ``Window.partitionBy(video)`` would sort that share in a single task.  Every primitive here
 cuts the order axis of a key into blocks of a fixed width, works inside ``(key, block)``,
-and only lets one small summary per block meet in a per-key window.
+and only lets small summaries of blocks meet, which are cut into groups in the same way.
 
 The order axis is a BIGINT: a frame number, a chunk index, or microseconds.
 """
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Positions (frames, chunk indexes) per block.
 BLOCK = 65_536
-#: Block width for axes in microseconds: ten seconds.  A year is about three million blocks,
-#: which one per-key window over block summaries still takes easily, while a stream that
-#: receives a large share of all rows within an hour is cut into hundreds of parts.
+#: Block width for axes in microseconds: ten seconds.  A stream that receives a large share of
+#: all rows within an hour is cut into hundreds of parts, and the three million blocks of a year
+#: into less than a thousand groups.
 TIME_BLOCK_US = 10_000_000
 #: One hour, for axes with few rows.
 HOUR_US = 3_600_000_000
@@ -58,65 +58,71 @@ def scan(
     """
     keys = list(keys)
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
-    prev_row = F.struct(*[c.alias(n) for n, c in previous.items()]) if previous else None
-
     order = F.struct(position.alias("p"), *[F.col(t) for t in tie]) if tie else position
-    # One struct names the part: structs are equal where their NULL fields agree, so neither
-    # grouping nor joining loses a row, and both still share one exchange.
-    part = F.struct(*[F.col(k) for k in keys], block_start(position, width).alias(_BLK))
-    rows = df.withColumn("__part", part).withColumn("__order", order)
-
-    totals = []
-    if rank:
-        totals.append(F.count(F.lit(1)).alias("__n"))
-    totals += [F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()]
-    totals += [F.max(c).alias(f"__max_{n}") for n, c in maxes.items()]
+    adds = {**({rank: F.lit(1)} if rank else {}), **sums}
+    values = {f"__sum_{n}": c for n, c in adds.items()} | {f"__max_{n}": c for n, c in maxes.items()}
+    if previous:
+        values["__row"] = F.struct(*[c.alias(n) for n, c in previous.items()])
+    rows = df.withColumns({_BLK: block_start(position, width), "__order": order, **values})
     # Column by column: fixed-width values under a plain position stay hash-aggregated.
     # Rows without a position fill a block of their own, where any order that is not NULL will do.
     latest = F.col("__order") if tie else F.coalesce(F.col("__order").cast("bigint"), F.lit(0).cast("bigint"))
-    totals += [F.max_by(c, latest).alias(f"__prev_{n}") for n, c in previous.items()]
-
-    before = Window.partitionBy(*[F.col(f"__part.{k}") for k in keys]).orderBy(f"__part.{_BLK}")
-    before_all = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    if rank:
-        carried.append(F.sum("__n").over(before_all).alias("__n"))
-    carried += [F.sum(f"__sum_{n}").over(before_all).alias(f"__sum_{n}") for n in sums]
-    carried += [F.max(f"__max_{n}").over(before_all).alias(f"__max_{n}") for n in maxes]
+    totals = _fold(adds, maxes)
+    if previous:
+        totals += [F.max_by(c, latest).alias(f"__prev_{n}") for n, c in previous.items()]
+    summary = rows.groupBy(*keys, _BLK).agg(*totals)
     if previous:
         last = F.struct(*[F.col(f"__prev_{n}").alias(n) for n in previous])
-        carried.append(F.lag(last).over(before).alias("__last"))
-    summary = rows.groupBy("__part").agg(*totals).select("__part", *carried)
-
-    here = Window.partitionBy("__part").orderBy("__order")
+        summary = summary.withColumn("__row", last).drop(*[f"__prev_{n}" for n in previous])
+    # What came before a block stands in front of it as a row of its own, so running values
+    # need neither a join nor a correction, and NULL keys are keys like any other.
+    marked = rows.withColumn("__real", F.lit(True)).unionByName(
+        _before(summary, keys, adds, maxes, bool(previous), width).withColumn("__real", F.lit(False)), allowMissingColumns=True
+    )
+    here = Window.partitionBy(*keys, _BLK).orderBy("__real", "__order")
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {}
-    if rank:
-        local["__l_n"] = F.row_number().over(here).cast("bigint")
-    for n, c in sums.items():
-        local[f"__l_sum_{n}"] = F.sum(c).over(upto)
-    for n, c in maxes.items():
-        local[f"__l_max_{n}"] = F.max(c).over(upto)
-    if previous:
-        local["__l_last"] = F.lag(prev_row).over(here)
-    rows = rows.withColumns(local)
-
-    joined = rows.join(summary, "__part")
-    out = {}
-    if rank:
-        out[rank] = F.col("__l_n") - 1 + F.coalesce("__n", F.lit(0))
-    for n in sums:
-        out[n] = F.when(
-            F.col(f"__sum_{n}").isNull(), F.col(f"__l_sum_{n}")
-        ).otherwise(F.coalesce(f"__l_sum_{n}", F.lit(0)) + F.col(f"__sum_{n}"))
-    for n in maxes:
-        mine, theirs = F.col(f"__l_max_{n}"), F.col(f"__max_{n}")
-        out[n] = F.when(mine.isNull() | (theirs > mine), theirs).otherwise(mine)
+    out = {f"__out_{n}": F.sum(f"__sum_{n}").over(upto) for n in adds} | {
+        f"__out_{n}": F.max(f"__max_{n}").over(upto) for n in maxes
+    }
     if previous:
-        seen = F.coalesce("__l_last", "__last")
-        for n in previous:
-            out[n] = seen[n]
-    return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+        out["__out"] = F.lag("__row").over(here)
+    result = [(F.col(f"__out_{n}") - 1).alias(n) if n == rank else F.col(f"__out_{n}").alias(n) for n in (*adds, *maxes)]
+    result += [F.col("__out")[n].alias(n) for n in previous]
+    return marked.withColumns(out).where("__real").select(*df.columns, *result)
+
+
+#: Block summaries that meet in one window.
+SUMMARIES = 4_096
+
+
+def _fold(sums: Mapping[str, Column], maxes: Mapping[str, Column]) -> list[Column]:
+    return [F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in sums] + [F.max(f"__max_{n}").alias(f"__max_{n}") for n in maxes]
+
+
+def _before(summary: DataFrame, keys: list[str], sums: Mapping, maxes: Mapping, rows: bool, width: int) -> DataFrame:
+    """Per block what all earlier blocks of its key amount to; first blocks have no row.
+
+    The summaries of a key are cut into groups of ``SUMMARIES`` blocks in turn, and only the
+    totals of those groups meet in a window of the key.
+    """
+    last = [F.max_by("__row", F.coalesce(_BLK, F.lit(-(1 << 62)))).alias("__row")] if rows else []
+    group = "__group"
+    grouped = summary.withColumn(group, block_start(F.col(_BLK), width * SUMMARIES))
+
+    def exclusive(df: DataFrame, part: list[str], by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*by)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        new = {f"__sum_{n}": F.sum(f"__sum_{n}").over(earlier) for n in sums} | {
+            f"__max_{n}": F.max(f"__max_{n}").over(earlier) for n in maxes
+        }
+        if rows:
+            new["__row"] = F.lag("__row").over(w)
+        return df.withColumns({"__place": F.row_number().over(w), **new}).where("__place > 1").drop("__place")
+
+    totals = grouped.groupBy(*keys, group).agg(*_fold(sums, maxes), *last)
+    ahead = exclusive(totals, keys, [group]).withColumn("__real", F.lit(False))
+    both = grouped.withColumn("__real", F.lit(True)).unionByName(ahead, allowMissingColumns=True)
+    return exclusive(both, [*keys, group], ["__real", _BLK]).where("__real").drop("__real", group)
 
 
 def islands(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shotspark.operators.ordered import BLOCK, scan
-from shotspark.session import durable
+from shotspark.operators.blocks import sorted_by, whole_groups
+from shotspark.operators.ordered import BLOCK, block_start, scan
 
 # Stages with their rank, and the stages each may move on to.
 STAGE_RANK = {
@@ -58,39 +64,111 @@ def validate_stage_path(updates: DataFrame, *, block: int = BLOCK) -> DataFrame:
     )
 
 
-def stage_walk(updates: DataFrame) -> DataFrame:
-    """The stage moves a task really makes: ``task_id, moves ARRAY<STRUCT<seq, stage>>``.
+#: Stages by number, and which number may follow which.
+STAGES = tuple(STAGE_RANK)
+_ALLOWED = np.array([[b in NEXT_STAGES[a] for b in STAGES] for a in STAGES])
+
+
+class _Walks:
+    """Stage moves inside sorted groups of updates, for all groups at once.
 
-    From its current stage a task takes the first later update that names an allowed next
-    stage.  Stages only move forward, so six steps exhaust every path, and each step is a
-    grouped minimum that combines map-side; no task's updates are ever gathered.
+    From its stage a group takes the first later update that names an allowed next one.  The
+    stages only move forward, so ``MAX_MOVES`` steps exhaust every walk.
     """
-    asked = updates.where(F.col("stage").isin(*[s for s in STAGE_RANK if s != "queued"])).select("task_id", "seq", "stage")
-    state = updates.select("task_id").distinct().select(
-        "task_id",
-        F.lit("queued").alias("at"),
-        F.lit(-1).cast("bigint").alias("since"),
-        F.array().cast("array<struct<seq:bigint,stage:string>>").alias("moves"),
-    )
-    fits = (F.col("u.seq") > F.col("s.since")) & may_follow(F.col("s.at"), F.col("u.stage"))
-    for _ in range(MAX_MOVES):
-        # The state enters each step once, so the plan grows linearly with the steps.
-        step = (
-            state.alias("s")
-            .join(asked.alias("u"), (F.col("s.task_id") == F.col("u.task_id")) & fits, "left")
-            .groupBy("s.task_id")
-            .agg(
-                F.first(F.struct("s.at", "s.since", "s.moves")).alias("was"),
-                F.min(F.when(F.col("u.seq").isNotNull(), F.struct("u.seq", "u.stage"))).alias("move"),
-            )
-        )
-        state = step.select(
-            "task_id",
-            F.coalesce("move.stage", "was.at").alias("at"),
-            F.coalesce("move.seq", "was.since").alias("since"),
-            F.when(F.col("move").isNotNull(), F.array_append("was.moves", F.col("move"))).otherwise(F.col("was.moves")).alias("moves"),
-        )
-    return state.select("task_id", "moves")
+
+    def __init__(self, group: np.ndarray, stage: np.ndarray):
+        """``stage`` holds stage numbers, -1 for updates that name none."""
+        n = len(group)
+        self.group = group
+        self.begin = np.flatnonzero(np.diff(group, prepend=-1))
+        # The next place at or after each one that names each stage; n is nowhere.
+        places = np.where(stage[:, None] == np.arange(len(STAGES)), np.arange(n)[:, None], n)
+        self.next = np.append(np.minimum.accumulate(places[::-1], axis=0)[::-1], np.full((1, len(STAGES)), n), axis=0)
+
+    def moves(self, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rounds of ``(groups, places, new stages)`` when every group starts in its stage."""
+        n, stage, at = len(self.group), start.copy(), self.begin.copy()
+        for _ in range(MAX_MOVES):
+            found = np.where(_ALLOWED[stage], self.next[at], n)
+            place, new = found.min(axis=1), found.argmin(axis=1)
+            own = np.flatnonzero((place < n) & (self.group[np.minimum(place, n - 1)] == np.arange(len(at))))
+            if not len(own):
+                return
+            yield own, place[own], new[own]
+            stage[own], at[own] = new[own], place[own] + 1
+
+
+def _held(n: int, begin: np.ndarray, start: np.ndarray, moves) -> np.ndarray:
+    """The stage before every place of groups that begin in ``start``."""
+    stage = np.full(n + 1, -1)
+    stage[begin] = start
+    for _, place, new in moves:
+        # A move in the last place of a group is seen by nobody.
+        free = ~np.isin(place + 1, begin)
+        stage[place[free] + 1] = new[free]
+    known = np.maximum.accumulate(np.where(stage >= 0, np.arange(n + 1), 0))
+    return stage[known][:n]
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(pc.index_in(column, pa.array(STAGES)), -1).to_numpy().astype(np.int64)
+
+
+def with_current_stage(updates: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """Every update with ``current``, the stage of its task before it.
+
+    A block of updates is a function from the eight stages to the stage after it.  Each block
+    works out its function, the functions of a task are composed in order, and every block is
+    walked again from the stage in which it is entered.  No task is ever gathered.
+    """
+    part = ["task_id", "__block"]
+    task = updates.schema["task_id"].dataType.simpleString()
+    rows = updates.withColumn("__block", block_start(F.col("seq"), block))
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, part):
+            walks = _Walks(group, _numbers(table["stage"]))
+            after = np.tile(np.arange(len(STAGES)), (len(walks.begin), 1))
+            for s in range(len(STAGES)):
+                for own, _, new in walks.moves(np.full(len(walks.begin), s)):
+                    after[own, s] = new
+            keys = table.select(part).take(pa.array(walks.begin)).combine_chunks()
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(after.ravel(), pa.int64()), len(STAGES))
+            yield from pa.table([*keys.columns, lists.cast(pa.list_(pa.int64()))], names=[*part, "after"]).to_batches()
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["task_id"]):
+            after = table["after"].combine_chunks().flatten().to_numpy().reshape(-1, len(STAGES))
+            n, begin = len(group), np.flatnonzero(np.diff(group, prepend=-1))
+            # The next block at or after each one that leaves each stage.
+            places = np.where(after != np.arange(len(STAGES)), np.arange(n)[:, None], n)
+            leaves = np.append(np.minimum.accumulate(places[::-1], axis=0)[::-1], np.full((1, len(STAGES)), n), axis=0)
+            stage, at, moves = np.zeros(len(begin), np.int64), begin.copy(), []
+            for _ in range(MAX_MOVES):
+                place = leaves[at, stage]
+                own = np.flatnonzero((place < n) & (group[np.minimum(place, n - 1)] == np.arange(len(begin))))
+                new = after[place[own], stage[own]]
+                moves.append((own, place[own], new))
+                stage[own], at[own] = new, place[own] + 1
+            held = _held(n, begin, np.zeros(len(begin), np.int64), moves)
+            yield from table.select(part).append_column("__entry", pa.array(held)).combine_chunks().to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, part):
+            # Every block has one row that carries its stage, and the updates.
+            real = table["__entry"].is_null().to_numpy()
+            own, start = table.filter(pa.array(real)), table["__entry"].drop_null().to_numpy()
+            walks = _Walks(group[real], _numbers(own["stage"]))
+            held = _held(own.num_rows, walks.begin, start, walks.moves(start))
+            current = pa.array(np.array(STAGES, dtype=object)[held], pa.string())
+            yield from own.drop_columns(["__entry"]).append_column("current", current).combine_chunks().to_batches()
+
+    asked = rows.select(*part, "seq", "stage")
+    blocks = sorted_by(asked, part, ("seq",)).mapInArrow(functions, f"task_id {task}, __block bigint, after array<bigint>")
+    entered = sorted_by(blocks, ["task_id"], ("__block",)).mapInArrow(entries, f"task_id {task}, __block bigint, __entry bigint")
+    marked = rows.withColumn("__entry", F.lit(None).cast("bigint")).unionByName(entered, allowMissingColumns=True)
+    schema = T.StructType([*rows.schema.fields, T.StructField("current", T.StringType())])
+    return sorted_by(marked, part, ("seq",)).mapInArrow(walk, schema).drop("__block")
 
 
 def applied_updates(updates: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -99,11 +177,7 @@ def applied_updates(updates: DataFrame, *, block: int = BLOCK) -> DataFrame:
 
     ``updates`` carries ``task_id, seq, ts, stage, progress``.
     """
-    rows = updates.join(durable(stage_walk(updates)), "task_id")
-    before = F.filter("moves", lambda m: m["seq"] < F.col("seq"))
-    rows = rows.withColumn(
-        "current", F.when(F.size(before) > 0, F.element_at(before, -1)["stage"]).otherwise(F.lit("queued"))
-    ).drop("moves")
+    rows = with_current_stage(updates, block=block)
     asked = F.coalesce("stage", F.lit(""))
     verdict = (
         F.when(F.col("current").isin(*TERMINAL), F.lit("ignored"))
