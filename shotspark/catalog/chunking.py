@@ -111,18 +111,17 @@ ORACLE["pad_windows"] = with_views(
 
 
 def check_chunk_frames(spark, d):
-    frames = fx.frame_scores(spark, d).select("video_id", "frame").where("frame % 29 <> 5")
-    return chunks.check_chunk_frames(
-        chunks.assign_frames_to_chunks(frames, small_videos(spark, d)), small_plan(spark, d)
-    )
+    """Every tenth chunk of the plan claims one frame more than the tables hold."""
+    frames = fx.frame_scores(spark, d).select("video_id", "frame")
+    plan = small_plan(spark, d).withColumn("context_end", F.col("context_end") + F.when(F.col("chunk_index") % 10 == 3, 1).otherwise(0))
+    return chunks.check_chunk_frames(chunks.assign_frames_to_chunks(frames, small_videos(spark, d)), plan)
 
 
 QUERIES["check_chunk_frames"] = check_chunk_frames
 ORACLE["check_chunk_frames"] = with_views(
-    """SELECT p.video_id, p.chunk_index, context_end - context_start + 1 AS expected, count(f.frame) AS frames,
-    count(f.frame) = context_end - context_start + 1 AS complete FROM plan p LEFT JOIN frame_scores f
-    ON f.video_id = p.video_id AND f.frame BETWEEN p.context_start AND p.context_end AND f.frame % 29 <> 5
-    GROUP BY p.video_id, p.chunk_index, context_start, context_end""",
+    """SELECT video_id, chunk_index, n + CASE WHEN chunk_index % 10 = 3 THEN 1 ELSE 0 END AS expected, frames, chunk_index % 10 <> 3 AND frames = n AS complete FROM (
+    SELECT p.video_id, p.chunk_index, context_end - context_start + 1 AS n, count(f.frame) AS frames FROM plan p LEFT JOIN frame_scores f
+    ON f.video_id = p.video_id AND f.frame BETWEEN p.context_start AND p.context_end GROUP BY p.video_id, p.chunk_index, context_start, context_end) q""",
     "videos", "frame_scores", plan=PLAN_SQL,
 )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -119,21 +120,18 @@ ORACLE["detect_transitions"] = with_views("SELECT * FROM transitions", "frame_sc
 
 
 def _shots(spark, d):
-    """Shots with a varying gap, laid over the frames of ``frame_scores``."""
+    """Shots with a varying gap over all frames of ``frame_scores``, of which they gather 16 each."""
+    cut = F.expr("frame div 16")
     return (
         fx.frame_scores(spark, d)
-        .where("frame % 16 = 0")
-        .select(
-            "video_id",
-            F.expr("frame div 16").alias("shot_no"),
-            F.col("frame").alias("start"),
-            (F.col("frame") + 15 - (F.col("frame") + F.col("video_id")) % 5).alias("end"),
-        )
+        .groupBy("video_id", cut.alias("shot_no"))
+        .agg(F.min("frame").alias("start"))
+        .withColumn("end", F.col("start") + 15 - (F.col("start") + F.col("video_id")) % 5)
     )
 
 
 SHOTS = """
-SELECT video_id, frame // 16 AS shot_no, frame AS s, frame + 15 - (frame + video_id) % 5 AS e FROM frame_scores WHERE frame % 16 = 0"""
+SELECT video_id, shot_no, s, s + 15 - (s + video_id) % 5 AS e FROM (SELECT video_id, frame // 16 AS shot_no, min(frame) AS s FROM frame_scores GROUP BY 1, 2) f"""
 PAIRS = """
 SELECT video_id, CASE WHEN s - p <= 2 THEN 'hard_cut' ELSE 'gradual_transition' END AS type,
     CASE WHEN s - p <= 2 THEN s ELSE p END AS start_frame, s AS end_frame, p AS gap_start FROM (
@@ -153,23 +151,28 @@ ORACLE["transitions_from_ranges"] = with_views(
 
 def transitions_from_scene_scores(spark, d):
     """Some gaps have no score at all."""
-    scores = fx.frame_scores(spark, d).select("video_id", "frame", F.col("boundary_p").alias("score"))
-    scores = scores.where("frame div 64 % 3 <> 1")
+    known = F.when(F.expr("frame div 64 % 3 <> 1"), F.col("boundary_p"))
+    scores = fx.frame_scores(spark, d).select("video_id", "frame", known.alias("score"))
     return detect.transitions_from_scene_scores(_shots(spark, d), scores, digits=None)
 
 
 QUERIES["transitions_from_scene_scores"] = transitions_from_scene_scores
 ORACLE["transitions_from_scene_scores"] = with_views(
-    """SELECT p.video_id, p.type, p.start_frame, p.end_frame, max(s.boundary_p) AS confidence FROM pairs p LEFT JOIN frame_scores s
-    ON s.video_id = p.video_id AND s.frame BETWEEN p.gap_start AND p.end_frame AND s.frame // 64 % 3 <> 1 GROUP BY 1, 2, 3, 4""",
+    """SELECT p.video_id, p.type, p.start_frame, p.end_frame, max(CASE WHEN s.frame // 64 % 3 <> 1 THEN s.boundary_p END) AS confidence FROM pairs p LEFT JOIN frame_scores s
+    ON s.video_id = p.video_id AND s.frame BETWEEN p.gap_start AND p.end_frame GROUP BY 1, 2, 3, 4""",
     "frame_scores", shots=SHOTS, pairs=PAIRS,
 )
 
 
-def toy_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Stand-in for a user model: jump against the window's previous frame."""
-    v = pdf["brightness"].astype("float64")
-    return pd.DataFrame({"boundary_p": v.diff().abs().fillna(0.0) / 255.0, "transition_p": v / 255.0})
+def toy_scorer():
+    """Stand-in for a user model over windows of 32 frames: jump against the window's previous frame."""
+
+    def model(windows: pd.DataFrame) -> pd.DataFrame:
+        v = windows["brightness"].to_numpy("float64").reshape(-1, 32)
+        jump = np.abs(np.diff(v, axis=1, prepend=v[:, :1])) / 255.0
+        return pd.DataFrame({"boundary_p": jump.ravel(), "transition_p": v.ravel() / 255.0})
+
+    return model
 
 
 def _frames(spark, d):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotspark.operators.blocks import sorted_by, whole_groups
 from shotspark.operators.ordered import BLOCK, islands, locate, scan, with_halo
 from shotspark.session import durable
 
@@ -25,6 +29,9 @@ class DetectParams:
     block: int = BLOCK
 
 
+#: Scores of several windows: one DataFrame in, one with as many rows out.
+Model = Callable[[pd.DataFrame], pd.DataFrame]
+
 #: Default grouping; pass ("video_id", "chunk_index") to detect inside every chunk.
 KEY = ("video_id",)
 
@@ -32,22 +39,34 @@ KEY = ("video_id",)
 # ---------------------------------------------------------------- windows and scores
 
 
+#: Models of this Python worker, by the call that asked for them.
+_MODELS: dict[str, Model] = {}
+
+
 def score_frames(
     frames: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    load: Callable[[], Model],
     frame_counts: DataFrame,
     *,
     window: int = 100,
     overlap: int = 20,
+    windows_per_call: int = 8,
+    strip: int = 32,
 ) -> DataFrame:
-    """Run a user model over overlapping windows of one video.
+    """Run a user model over overlapping windows of every video.
 
-    ``fn`` receives the frames of one window in order, padded with copies of the last frame
-    to ``window`` rows, and returns ``boundary_p`` and ``transition_p`` per row.  Scores of
-    padded rows are dropped.  One row per (video, window, frame) comes back; average them
-    with :func:`average_window_scores`.  A task holds one window, never a whole video.
+    ``load`` returns the model and is called once per Python worker.  The model receives up
+    to ``windows_per_call`` windows at a time as one DataFrame, ``window`` rows each in frame order, windows
+    shorter than that padded with copies of their last frame; it returns ``boundary_p`` and
+    ``transition_p`` per row.  Scores of padded rows are dropped.  One row per (video, window,
+    frame) comes back; average them with :func:`average_window_scores`.
+
+    Frames travel once, in strips of ``strip`` consecutive windows: only the frames that two
+    strips share are copied, which is ``overlap`` in every ``strip * (window - overlap)``, and
+    windows are cut where the strip lies.  A task holds a few windows, never a whole video.
     """
     step = window - overlap
+    part = ["video_id", "__strip"]
     schema = T.StructType(
         [f for f in frames.schema if f.name == "video_id"]
         + [
@@ -57,34 +76,54 @@ def score_frames(
             T.StructField("transition_p", T.DoubleType()),
         ]
     )
-    last = last_window(F.col("frame_count"), window, step)
-    first = F.greatest(F.lit(0), F.expr(f"(frame - {window} + {step}) div {step}")).cast("bigint")
-    placed = (
-        frames.join(frame_counts.select("video_id", "frame_count"), "video_id")
-        .withColumn("__last", last)
-        .withColumn("__from", F.when(F.col("frame") < window, F.lit(0).cast("bigint")).otherwise(first))
-        .withColumn("__to", F.least(F.col("__last"), F.expr(f"frame div {step}")))
-        .where("frame < frame_count and __from <= __to")
-        .withColumn("window_no", F.explode(F.sequence("__from", "__to")))
-        .drop("__last", "__from", "__to", "frame_count")
+    first = F.greatest(F.lit(0), F.floor((F.col("frame") - window) / step) + 1)
+    strips = F.sequence(F.floor(first / strip), F.floor(F.col("frame") / (step * strip)))
+    placed = frames.where("frame >= 0").withColumn("__strip", F.explode(strips))
+    # Each strip is told by one row how long its video is; frames themselves join nothing.
+    last = F.floor(last_window(F.col("frame_count"), window, step) / strip)
+    told = frame_counts.where("frame_count > 0").select(
+        "video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__strip"), F.col("frame_count").cast("bigint").alias("__count")
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", ignore_index=True)
-        n = len(pdf)
-        padded = pdf if n >= window else pdf.loc[list(range(n)) + [n - 1] * (window - n)].reset_index(drop=True)
-        scores = fn(padded)
-        return pd.DataFrame(
-            {
-                "video_id": pdf["video_id"],
-                "window_no": pdf["window_no"],
-                "frame": pdf["frame"],
-                "boundary_p": scores["boundary_p"].to_numpy()[:n],
-                "transition_p": scores["transition_p"].to_numpy()[:n],
-            }
-        )
-
-    return placed.groupBy("video_id", "window_no").applyInPandas(run, schema)
+    marked = placed.withColumn("__count", F.lit(None).cast("bigint")).unionByName(told, allowMissingColumns=True)
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _MODELS:
+            _MODELS[name] = load()
+        model = _MODELS[name]
+        for table, group in whole_groups(batches, part, windows_per_call * window):
+            told = np.flatnonzero(table["__count"].is_valid().to_numpy())
+            frame = pc.fill_null(table["frame"], -1).to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+            wanted: list[tuple[int, np.ndarray]] = []
+            for at in told.tolist():
+                # The row that tells the length has no frame and comes first in its strip.
+                low, high = at + 1, int(ends[group[at]])
+                count, number = table["__count"][at].as_py(), table["__strip"][at].as_py()
+                high = low + int(np.searchsorted(frame[low:high], count))
+                final = max(0, -(-(count - window) // step))
+                for w in range(number * strip, min(final, number * strip + strip - 1) + 1):
+                    s, e = low + np.searchsorted(frame[low:high], [w * step, w * step + window])
+                    if e > s:
+                        wanted.append((w, np.arange(s, e)))
+            rows = table.drop_columns(["__strip", "__count"])
+            for k in range(0, len(wanted), windows_per_call):
+                some = wanted[k : k + windows_per_call]
+                padded = [np.append(at, np.repeat(at[-1:], window - len(at))) for _, at in some]
+                scores = model(rows.take(pa.array(np.concatenate(padded))).to_pandas())
+                real = np.concatenate([np.arange(window) < len(at) for _, at in some])
+                own = np.concatenate([at for _, at in some])
+                yield pa.record_batch(
+                    [
+                        rows["video_id"].take(pa.array(own)).combine_chunks(),
+                        pa.array(np.repeat([w for w, _ in some], [len(at) for _, at in some]), pa.int64()),
+                        pa.array(frame[own], pa.int64()),
+                        *(pa.array(np.asarray(scores[c], np.float64)[real]) for c in ("boundary_p", "transition_p")),
+                    ],
+                    names=schema.names,
+                )
+
+    return sorted_by(marked, part, ("frame",)).mapInArrow(run, schema)
 
 
 def last_window(frame_count, window: int, step: int):

@@ -178,19 +178,55 @@ def test_windows_cover_the_video_and_pad(spark):
     assert got == [(1, 0, 99), (2, 0, 99), (2, 80, 100), (3, 0, 99), (3, 80, 179), (3, 160, 249)]
 
 
-def test_score_hook_pads_and_averages(spark):
+@pytest.mark.parametrize("strip,per_call", [(1, 1), (2, 3), (32, 8)])
+def test_score_hook_pads_and_averages(spark, strip, per_call):
     import pandas as pd
 
-    frames = spark.createDataFrame([(1, i, float(i)) for i in range(25)], "video_id BIGINT, frame BIGINT, v DOUBLE")
-    v = spark.createDataFrame([(1, 25)], "video_id BIGINT, frame_count BIGINT")
-
-    def fn(pdf):
-        assert len(pdf) == 10
-        return pd.DataFrame({"boundary_p": pdf["v"] / 100, "transition_p": pdf["v"] * 0 + pdf["v"].max()})
-
-    raw = detect.score_frames(frames, fn, v, window=10, overlap=4)
-    got = {r.frame: (r.boundary_p, r.transition_p) for r in detect.average_window_scores(raw).collect()}
-    assert len(got) == 25 and got[7] == (0.07, (9 + 15) / 2) and got[24] == (0.24, 24.0)
+    lengths = {1: 25, 2: 10, 3: 3, 4: 300, None: 11}
+    rows = [(v, i, float(i)) for v, n in lengths.items() for i in range(n + 4) if (v, i % 50) != (4, 7)]
+    frames = spark.createDataFrame([*rows, (9, 0, 0.0)], "video_id BIGINT, frame BIGINT, v DOUBLE")
+    counts = spark.createDataFrame([*lengths.items(), (5, 0), (6, 40)], "video_id BIGINT, frame_count BIGINT")
+
+    def load():
+        def model(pdf):
+            assert len(pdf) % 10 == 0 and len(pdf) <= 10 * per_call and list(pdf.columns) == ["video_id", "frame", "v"]
+            return pd.DataFrame({"boundary_p": pdf["v"] / 100, "transition_p": pdf["v"].to_numpy().reshape(-1, 10).max(axis=1).repeat(10)})
+
+        return model
+
+    raw = detect.score_frames(frames, load, counts, window=10, overlap=4, windows_per_call=per_call, strip=strip)
+    want = []
+    for video, n in lengths.items():
+        start = number = 0
+        while True:
+            own = [f for v, f, _ in rows if v == video and start <= f < min(n, start + 10)]
+            want += [(video, number, f, f / 100, float(max(own))) for f in own]
+            if start + 10 >= n:
+                break
+            start, number = start + 6, number + 1
+    assert sorted(map(str, map(tuple, raw.collect()))) == sorted(map(str, want))
+    got = {(r.video_id, r.frame): (r.boundary_p, r.transition_p) for r in detect.average_window_scores(raw).collect()}
+    assert got[1, 7] == (0.07, (9 + 15) / 2) and got[1, 24] == (0.24, 24.0)
+
+
+def test_frames_travel_once_when_scored(spark):
+    """One exchange, and next to no copies: the plan moves frames by strip alone."""
+    frames = spark.range(20_000).select(F.lit(1).cast("bigint").alias("video_id"), F.col("id").alias("frame"))
+    counts = spark.createDataFrame([(1, 20_000)], "video_id BIGINT, frame_count BIGINT")
+    scored = detect.score_frames(frames, lambda: lambda pdf: pdf.assign(boundary_p=0.0, transition_p=0.0), counts)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(pdf):
+            calls.add(1)
+            return pdf.assign(boundary_p=0.0, transition_p=0.0)
+
+        return model
+
+    assert detect.score_frames(frames, load, counts).count() == 20_000 + 249 * 20
+    assert calls.value <= 250 / 8 + 20
 
 
 def test_similarity_over_sparse_frames(spark):
