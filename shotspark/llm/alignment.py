@@ -329,7 +329,7 @@ def _block(texts: list[str | None], known: Vocabularies) -> dict[str, list]:
 
 def align_payloads(
     records: DataFrame, path_a: str, path_b: str, key: str = "source_event_id", text: str = "payload",
-    digest: bool = False, block_bytes: int = 4 << 20,
+    digest: bool = False, block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """How the tokens of two vocabularies meet in every record's text, one row a record.
 
