@@ -27,10 +27,12 @@ def _rank() -> Column:
 
 
 def _fold(dets: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
-    """Greedy suppression of one bounded group as a fold over its ranked boxes."""
+    """Greedy suppression of one bounded group as a fold over its ranked boxes.
+
+    One row per group: ``boxes`` that stay, how many there were, and the rank of the last.
+    """
     rest = [c for c in dets.columns if c not in keys]
-    box = F.struct(_rank().alias("rank"), *rest)
-    ranked = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    ranked = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(_rank().alias("rank"), *rest))).alias("boxes"))
     kind = ranked.schema["boxes"].dataType
     kept = F.aggregate(
         "boxes",
@@ -41,9 +43,7 @@ def _fold(dets: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     )
     # A lone box needs no comparison, and most groups are lone boxes.
     kept = F.when(F.size("boxes") == 1, F.col("boxes")).otherwise(kept)
-    return ranked.select(*keys, F.explode(kept).alias("b")).select(
-        *[F.col(c) if c in keys else F.col(f"b.{c}").alias(c) for c in dets.columns]
-    )
+    return ranked.select(*keys, kept.alias("boxes"), F.size("boxes").alias("n"), F.element_at("boxes", -1)["rank"].alias("last"))
 
 
 def class_nms(
@@ -67,23 +67,19 @@ def class_nms(
             .where(F.col("__rn") <= group_limit)
             .drop("__rn", "neg_conf")
         )
-        top = durable(top)
-        kept = durable(_fold(top, threshold, keys))
+        groups = durable(_fold(top, threshold, keys))
+        kept = groups.select(*keys, F.explode("boxes").alias("b")).select(
+            *[F.col(c) if c in keys else F.col(f"b.{c}").alias(c) for c in dets.columns]
+        )
         result = kept if result is None else result.unionByName(kept)
         # Only groups that filled their share may have more.
-        full = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(_rank()).alias("__last"))
-        full = durable(full.where(F.col("__n") >= group_limit).drop("__n"))
+        full = groups.where(F.col("n") >= group_limit)
         if full.isEmpty():
             break
-        decided = full.join(
-            kept.join(full.select(*keys), keys, "left_semi")
-            .groupBy(*keys)
-            .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__kept")),
-            keys,
-        )
+        corners = F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")]))
         me = F.struct("x1", "y1", "x2", "y2")
         rest = durable(
-            rest.join(decided, keys)
+            rest.join(full.select(*keys, F.col("last").alias("__last"), corners.alias("__kept")), keys)
             .where(_rank() > F.col("__last"))
             .where(~F.exists("__kept", lambda k: iou(k, me) >= threshold))
             .select(*dets.columns)
