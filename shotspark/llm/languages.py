@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -71,32 +71,59 @@ def window_slots(windows: list[str], bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Level:
-    """One order: sorted slots, and per slot a value for every language."""
+    """Windows of one length: sorted slots, and for each slot a row of values per model.
 
-    grams: np.ndarray
+    ``seen`` is the discounted probability of a window's last character, ``passed`` the weight that the
+    window, as a context, leaves to the shorter one.  The first row is for other windows.
+    """
+
+    keys: np.ndarray
     seen: np.ndarray
-    contexts: np.ndarray
     passed: np.ndarray
 
-    @staticmethod
-    def look(table: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-        if not len(table):
-            return np.full((len(wanted), values.shape[1]), default, np.float32)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return np.where((table[at] == wanted)[:, None], values[at], np.float32(default))
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at + 1, 0)
 
 
 @dataclass(frozen=True)
 class Models:
-    """Character models of all languages, as sorted hash arrays per order."""
+    """Character models as sorted hash arrays per window length.
+
+    There is a model per language; with folds, ``copies`` times as many, copy after copy.
+    """
 
     languages: tuple[str, ...]
+    copies: int
+    #: Shares of a character nothing is known about, and what no context leaves to them.
     uniform: np.ndarray
+    passed: np.ndarray
     levels: tuple[Level, ...]
     bits: int
+    #: What was found for earlier words, which a worker keeps from batch to batch.
+    kept: dict[str, int] = field(default_factory=dict)
+    found: list[np.ndarray] = field(default_factory=list)
+
+    def of_words(self, words: list[str], limit: int = 200_000) -> np.ndarray:
+        """Rows of bits under every model, predicted characters and letters; ``limit`` words are kept."""
+        at = np.fromiter((self.kept.get(w, -1) for w in words), np.int64, len(words))
+        out = np.empty((len(words), len(self.uniform) + 2), np.float32)
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new]
+        cost, *sizes = self.surprise(fresh)
+        out[new] = np.column_stack([cost, *sizes])
+        if not self.found:
+            self.found.append(np.empty((limit, out.shape[1]), np.float32))
+        out[at >= 0] = self.found[0][at[at >= 0]]
+        room = max(0, limit - len(self.kept))
+        self.found[0][len(self.kept) : len(self.kept) + len(fresh[:room])] = out[new[:room]]
+        self.kept.update(zip(fresh[:room], range(len(self.kept), len(self.kept) + room), strict=False))
+        return out
 
     def surprise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word its bits under every language, predicted characters, and letters."""
+        """Per word its bits under every model, predicted characters, and letters."""
         order = len(self.levels)
         cut = [pieces_of(w, order) for w in words]
         of_word = np.repeat(np.arange(len(words)), np.fromiter(map(len, cut), np.int64, len(words)))
@@ -104,21 +131,22 @@ class Models:
         size = np.fromiter(map(len, flat), np.int64, len(flat))
         points = code_points("".join(flat))
         first = np.cumsum(size) - size
-        offset = np.arange(len(points)) - np.repeat(first, size)
-        at = np.flatnonzero(offset >= order - 1)
+        at = np.flatnonzero(np.arange(len(points)) - np.repeat(first, size) >= order - 1)
         owner = np.repeat(of_word, size)[at]
-        chance = np.broadcast_to(self.uniform, (len(at), len(self.languages)))
-        before = np.zeros(len(points), np.uint64)
+        chance = np.broadcast_to(self.uniform * self.passed, (len(at), len(self.uniform)))
+        window = np.zeros(len(points), np.uint64)
         for n, level in enumerate(self.levels):
-            # The context of a character is the shorter window that ends before it.
-            context = level.look(level.contexts, level.passed, slots(before[at - 1], self.bits), 1.0)
             moved = np.zeros(len(points), np.uint64)
             moved[n:] = points[: len(points) - n]
-            before = before + moved * RANDOM[n]
-            chance = level.look(level.grams, level.seen, slots(before[at], self.bits), 0.0) + context * chance
+            window = window + moved * RANDOM[n]
+            rows = level.rows(slots(window, self.bits))
+            chance = level.seen[rows[at]] + chance
+            if n + 1 < order:
+                # A window that ends before a character is the context of the next longer one.
+                chance = chance * level.passed[rows[at - 1]]
         cost = -np.log2(chance)
-        total = np.empty((len(words), len(self.languages)))
-        for k in range(len(self.languages)):
+        total = np.empty((len(words), len(self.uniform)))
+        for k in range(len(self.uniform)):
             total[:, k] = np.bincount(owner, cost[:, k], len(words))
         letters = np.bincount(owner[points[at] != ord(" ")], minlength=len(words))
         return total, np.bincount(owner, minlength=len(words)), letters
@@ -151,20 +179,20 @@ def _pieces(records: DataFrame, order: int, held: int = 300_000) -> DataFrame:
 
 def fit_languages(
     records: DataFrame, text: str = "payload", language: str = "lang", order: int = 4, bits: int = 22, folds: int = 1
-) -> list[Models]:
+) -> Models:
     """Kneser-Ney models of all texts in ``records``, one per value of ``language``.
 
     The highest order counts windows of ``order`` characters inside padded words; every lower
     order counts in how many different windows of the next one it ends.  From each count the
     discount n1 / (n1 + 2 n2) of its order is taken and given to the lower order, the lowest
     to all characters alike.  All rows are counted; rows with a null text or language are not.
-    With two or more ``folds`` further models follow, of which number 1 + f leaves out the texts whose
-    :func:`fold_of` is f.
+    With two or more ``folds`` further copies of all models follow, of which number 1 + f leaves out
+    the texts whose :func:`fold_of` is f.
 
     Counting is distributed.  The models are sent to the executors, and their size is bounded
     whatever the input: windows share ``2 ** bits`` slots an order (the commonest window of a
-    slot and language gives the value), so a model has at most ``2 * order * 2 ** bits`` slots
-    of ``4 + 4 * languages`` bytes.
+    slot and model gives the value), so there are at most ``order * 2 ** bits`` slots of 4 bytes
+    and 8 for every language and copy.
     """
     rows = records.select(F.col(text).cast("string").alias("text"), F.col(language).cast("string").alias("lang"))
     rows = rows.withColumn("fold", fold_of(F.col("text"), folds))
@@ -212,26 +240,26 @@ def fit_languages(
     table = placed.groupBy(*of, "n", "is_context", "slot").agg(F.max_by(F.col("value").cast("float"), "weight").alias("value")).toArrow()
     sizes = {(r["model"], r["lang"]): r["count"] for r in letters.collect()}
     languages = tuple(sorted({lang for _, lang in sizes}))
+    copies = 1 + len(others)
     number = {lang: k for k, lang in enumerate(languages)}
-    lang = np.array([number[x] for x in table["lang"].to_pylist()], np.int64)
-    model_of, order_of = table["model"].to_numpy(), table["n"].to_numpy()
+    column = table["model"].to_numpy() * len(languages) + np.array([number[x] for x in table["lang"].to_pylist()], np.int64)
     is_context = table["is_context"].to_numpy().astype(bool)
+    length = table["n"].to_numpy() - is_context
     slot, value = table["slot"].to_numpy().astype(np.uint32), table["value"].to_numpy()
-    out = []
-    for m in range(1 + len(others)):
-        levels = []
-        for n in range(1, order + 1):
-            sides = []
-            for context, default in ((False, 0.0), (True, 1.0)):
-                own = (model_of == m) & (order_of == n) & (is_context == context)
-                keys, at = np.unique(slot[own], return_inverse=True)
-                values = np.full((len(keys), len(languages)), default, np.float32)
-                values[at, lang[own]] = value[own]
-                sides += [keys, values]
-            levels.append(Level(*sides))
-        uniform = np.array([1.0 / (sizes.get((m, x), 0) + 1) for x in languages], np.float32)
-        out.append(Models(languages, uniform, tuple(levels), bits))
-    return out
+    width = copies * len(languages)
+    passed = np.ones(width, np.float32)
+    passed[column[length == 0]] = value[length == 0]
+    levels = []
+    for n in range(1, order + 1):
+        keys, sides = np.unique(slot[length == n]), []
+        for context, default in ((False, 0.0), (True, 1.0)):
+            own = (length == n) & (is_context == context)
+            values = np.full((len(keys) + 1 if not context or n < order else 0, width), default, np.float32)
+            values[np.searchsorted(keys, slot[own]) + 1, column[own]] = value[own]
+            sides.append(values)
+        levels.append(Level(keys, *sides))
+    uniform = np.array([1.0 / (sizes.get((m, x), 0) + 1) for m in range(copies) for x in languages], np.float32)
+    return Models(languages, copies, uniform, passed, tuple(levels), bits)
 
 
 def fold_of(text: Column, folds: int) -> Column:
@@ -289,32 +317,32 @@ def identify_languages(
         F.when(learn, F.col(language).cast("string")).alias("lang"),
     )
     models = fit_languages(rows, "text", "lang", order, bits, folds=2)
-    names = models[0].languages
+    names = models.languages
     sent = spark.sparkContext.broadcast(models)
     kind = records.schema[key].dataType.simpleString()
     folded = rows.withColumn("fold", F.when(F.col("lang").isNotNull(), fold_of(F.col("text"), 2)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             found = [words_of(t) if t else [] for t in batch["text"].to_pylist()]
             edges = np.cumsum([0, *map(len, found)])
             number = pa.array([w for f in found for w in f], pa.large_string()).dictionary_encode()
             words, code = number.dictionary.to_pylist(), number.indices.to_numpy()
 
-            def added(each: np.ndarray) -> np.ndarray:
-                total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each[code], axis=0)])
-                return total[edges[1:]] - total[edges[:-1]]
-
-            costs = [m.surprise(words) for m in known]
-            size = np.rint(added(np.column_stack(costs[0][1:]).astype(np.float64))).astype(np.int64)
-            entropies = [added(cost) / np.maximum(size[:, :1], 1) for cost, _, _ in costs]
+            each = known.of_words(words).astype(np.float64)[code]
+            total = np.zeros((len(found), each.shape[1]))
+            full = np.flatnonzero(np.diff(edges))
+            if len(full):
+                total[full] = np.add.reduceat(each, edges[full])
+            size = np.rint(total[:, -2:]).astype(np.int64)
+            entropies = (total[:, :-2] / np.maximum(size[:, :1], 1)).reshape(len(found), known.copies, -1)
             fold = np.array([0 if f is None else 1 + f for f in batch["fold"].to_pylist()], np.int64)
-            apart = np.stack(entropies)[fold, np.arange(len(found))]
+            apart = entropies[np.arange(len(found)), fold]
             ends = pa.array(np.arange(len(found) + 1) * len(names), pa.int32())
             yield pa.record_batch(
                 [batch["key"], batch["lang"], pa.array(size[:, 1]), pa.array(size[:, 0]),
-                 *(pa.ListArray.from_arrays(ends, pa.array(e.ravel())) for e in (entropies[0], apart))],
+                 *(pa.ListArray.from_arrays(ends, pa.array(e.ravel())) for e in (entropies[:, 0], apart))],
                 names=["key", "lang", "n_letters", "n_predicted", "entropies", "apart"],
             )
 
@@ -338,19 +366,20 @@ def identify_languages(
     if sample:
         truth = np.array([names.index(r.lang) for r in sample])
         a, b = _steepness(np.array([r.apart for r in sample]), np.array([float(r.n_letters) for r in sample]), truth)
-    mean = taught.groupBy("lang").agg((F.sum(F.col("own") * F.col("n_predicted")) / F.sum("n_predicted")).alias("mean"))
-    excess = (F.col("own") - F.col("mean")) * F.sqrt("n_predicted")
-    limits = {
-        r["lang"]: (r["mean"], r["limit"])
-        for r in taught.join(mean, "lang").groupBy("lang", "mean").agg(F.percentile_approx(excess, accept, 10_000).alias("limit")).collect()
-    }
+    # One row per language each; no teaching row moves.
+    bits_of = F.sum(F.col("own") * F.col("n_predicted")) / F.sum("n_predicted")
+    means = {r[0]: r[1] for r in taught.groupBy("lang").agg(bits_of).collect()}
+    means = [means.get(x, 0.0) for x in names]
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int")
+    excess = (F.col("own") - F.element_at(F.array(*map(F.lit, means)), number)) * F.sqrt("n_predicted")
+    tops = {r[0]: r[1] for r in taught.groupBy("lang").agg(F.percentile_approx(excess, accept, 10_000)).collect()}
+    tops = [tops.get(x, 0.0) for x in names]
     lowest = F.array_min("entropies")
     place = F.array_position("entropies", lowest).cast("int")
     has = F.col("n_letters") > 0
     of_place = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), place)
     steep = F.lit(a) * F.pow(F.col("n_letters").cast("double"), F.lit(b))
     spread = F.aggregate("entropies", F.lit(0.0), lambda s, e: s + F.exp(-steep * (e - lowest)))
-    means, tops = zip(*[limits.get(x, (0.0, 0.0)) for x in names], strict=True)
     far = (lowest - of_place(means)) * F.sqrt("n_predicted") > of_place(tops)
     return scored.select(
         F.col("key").alias(key),

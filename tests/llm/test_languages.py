@@ -56,11 +56,17 @@ def plain_model(texts, order):
 def test_models_equal_the_plain_sums(spark, order):
     rows = corpus()
     records = spark.createDataFrame(rows, "source_event_id string, payload string, lang string")
-    (models,) = fit_languages(records, order=order)
+    models = fit_languages(records, order=order)
     assert models.languages == ("aa", "bb", "cc")
     words = ["bako", "strnock", "éaïu", "x", "komimimimimi", "b" * 200, "日本", "m²k", "²"]
     bits, predicted, letters = models.surprise(words)
     assert predicted.tolist()[:4] == [5, 8, 5, 2] and letters.tolist()[:4] == [4, 7, 4, 1]
+    for part in (words[:4], words, words[::-1]):
+        # Some words are found again, others go beyond the limit.
+        rows_of = dict(zip(part, models.of_words(part, 5), strict=True))
+        assert np.allclose([rows_of[w] for w in words if w in rows_of],
+                           [[*x, p, n] for w, x, p, n in zip(words, bits, predicted, letters, strict=True) if w in rows_of], rtol=1e-5)
+    assert len(models.kept) == 5
     assert (predicted[-1], letters[-1], letters[-2], letters[5]) == (0, 0, 2, 200)
     for k, lang in enumerate(models.languages):
         chance, alphabet = plain_model([t for _, t, x in rows if x == lang], order)
