@@ -13,13 +13,14 @@ from shotspark.operators.ordered import micros
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-#: Moment at which ages are measured: shortly after the middle of the test events.
-AS_OF = "2024-01-31 00:00:00"
+#: Moment at which ages are measured: a second after the last event.
+AS_OF = "(SELECT max(ts) + INTERVAL 1 SECOND FROM events)"
 US = "CAST(epoch_us({c}) AS BIGINT)"
 
 
-def as_of():
-    return F.lit(AS_OF).cast("timestamp")
+def as_of(spark, d):
+    last = fx.table(spark, d, "events").agg(F.max("ts").cast("string")).first()[0]
+    return F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 SECOND")
 
 
 def arrivals(spark, d):
@@ -233,14 +234,13 @@ SELECT message_id, CASE WHEN e IS NULL THEN 'pending' ELSE 'dead_letter' END AS
 
 
 def stalled_tasks(spark, d):
-    u = fx.status_updates(spark, d).where(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz"))
-    return dl.stalled_tasks(u, as_of(), 6 * 3600)
+    return dl.stalled_tasks(fx.status_updates(spark, d), as_of(spark, d), 6 * 3600)
 
 
 QUERIES["stalled_tasks"] = stalled_tasks
 ORACLE["stalled_tasks"] = with_views(
-    f"""SELECT task_id, stage, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) AS idle_us FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC) AS rn
-    FROM status_updates WHERE ts < TIMESTAMP '{AS_OF}') q WHERE rn = 1 AND stage NOT IN ('completed', 'failed') AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) >= 21600000000""",
+    f"""SELECT task_id, stage, epoch_us({AS_OF}) - epoch_us(ts) AS idle_us FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC) AS rn
+    FROM status_updates) q WHERE rn = 1 AND stage NOT IN ('completed', 'failed') AND epoch_us({AS_OF}) - epoch_us(ts) >= 21600000000""",
     "status_updates",
 )
 
@@ -264,14 +264,14 @@ ORACLE["in_flight"] = with_views(
 
 
 def retain(spark, d):
-    e = fx.table(spark, d, "events").select(F.col("event_type").alias("stream"), "ts", "event_id").where(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz"))
-    return dl.retain(e, as_of(), 7 * 86_400, 300).select("stream", "event_id")
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("stream"), "ts", "event_id")
+    return dl.retain(e, as_of(spark, d), 7 * 86_400, 300).select("stream", "event_id")
 
 
 QUERIES["retain"] = retain
 ORACLE["retain"] = f"""
 SELECT stream, event_id FROM (SELECT event_type AS stream, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events
-    WHERE ts < TIMESTAMP '{AS_OF}' AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) < 604800000000) q WHERE rn <= 300"""
+    WHERE epoch_us({AS_OF}) - epoch_us(ts) < 604800000000) q WHERE rn <= 300"""
 
 
 def skip_terminal(spark, d):
@@ -291,13 +291,13 @@ ORACLE["skip_terminal"] = with_views(
 
 
 def unacked_stale(spark, d):
-    e = fx.table(spark, d, "events").where(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz"))
+    e = fx.table(spark, d, "events")
     deliveries = e.select((F.col("event_id") % 4001).alias("message_id"), F.col("ts").alias("touched_at"))
     acks = e.where("event_id % 5 = 0").select((F.col("event_id") % 4001).alias("message_id"))
-    return dl.unacked_stale(deliveries, acks, as_of(), 3600)
+    return dl.unacked_stale(deliveries, acks, as_of(spark, d), 3600)
 
 
 QUERIES["unacked_stale"] = unacked_stale
 ORACLE["unacked_stale"] = f"""
-SELECT message_id, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) AS idle_us FROM (SELECT *, event_id % 4001 AS message_id FROM events WHERE ts < TIMESTAMP '{AS_OF}') q
-GROUP BY message_id HAVING count(*) FILTER (WHERE event_id % 5 = 0) = 0 AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) >= 3600000000"""
+SELECT message_id, epoch_us({AS_OF}) - epoch_us(max(ts)) AS idle_us FROM (SELECT *, event_id % 4001 AS message_id FROM events) q
+GROUP BY message_id HAVING count(*) FILTER (WHERE event_id % 5 = 0) = 0 AND epoch_us({AS_OF}) - epoch_us(max(ts)) >= 3600000000"""

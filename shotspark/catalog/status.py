@@ -12,8 +12,12 @@ from shotspark.operators.ordered import micros
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-RANK = "CASE {s} " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in st.STAGE_RANK.items()) + " END"
-EDGES = ", ".join(f"'{a}>{b}'" for a, following in st.NEXT_STAGES.items() for b in following)
+# The stage table once more, in full, so that a wrong entry of the library's shows.
+RANK = """CASE {s} WHEN 'queued' THEN 0 WHEN 'downloading' THEN 1 WHEN 'decoding' THEN 2 WHEN 'cut_detection' THEN 3
+    WHEN 'tracking' THEN 4 WHEN 'aggregating' THEN 5 WHEN 'completed' THEN 6 WHEN 'failed' THEN 6 END"""
+EDGES = """'queued>downloading', 'queued>decoding', 'queued>failed', 'downloading>decoding', 'downloading>failed', 'decoding>cut_detection',
+    'decoding>failed', 'cut_detection>tracking', 'cut_detection>failed', 'tracking>aggregating', 'tracking>failed', 'aggregating>completed',
+    'aggregating>failed'"""
 
 
 def validate_stage_path(spark, d):

@@ -67,9 +67,9 @@ SELECT o_custkey AS video_id, o_orderkey, 100 + o_orderkey % 900 AS start_frame,
     100 + o_orderkey % 900 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 + o_orderkey % 17 END AS end_frame,
     1200 AS frame_num FROM orders""",
     "chunk_arrivals": """
-SELECT task_id, chunk_index, arrived_at, event_id FROM (SELECT user_id AS task_id, ts AS arrived_at, event_id,
-    CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS BIGINT) AS chunk_index FROM events) q
-WHERE event_id % 61 <> 0""",
+SELECT task_id, chunk_index + CASE WHEN event_id % 61 = 0 THEN 1000000 ELSE 0 END AS chunk_index, arrived_at, event_id FROM (
+    SELECT user_id AS task_id, ts AS arrived_at, event_id,
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS BIGINT) AS chunk_index FROM events) q""",
     "metric_samples": """
 SELECT event_type AS worker, ts, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) % 500 AS BIGINT) AS value FROM events""",
     "envelopes": """
@@ -179,7 +179,9 @@ def chunk_arrivals(spark, sf_dir):
         F.round(F.col("value") * 100).cast("bigint").alias("__cents"),
     )
     ranked = scan(events, ["task_id"], F.col("__cents"), ["value", "event_id"], width=4096, rank="chunk_index")
-    return ranked.where("event_id % 61 <> 0").select("task_id", "chunk_index", "arrived_at", "event_id")
+    # One chunk in sixty-one comes under a number far beyond its task and leaves a hole.
+    far = F.when(F.col("event_id") % 61 == 0, 1_000_000).otherwise(0)
+    return ranked.select("task_id", (F.col("chunk_index") + far).alias("chunk_index"), "arrived_at", "event_id")
 
 
 @_stored
