@@ -55,12 +55,13 @@ def flatten_tracks(spark, d):
     chunked = rows.groupBy("video_id", F.expr("frame div 16").alias("chunk_index")).agg(
         F.collect_list(F.struct("frame", "scene_no", "track_id", "class_name", "confidence")).alias("tracks")
     )
-    return res.flatten_tracks(chunked)
+    return res.flatten_tracks(chunked, "position")
 
 
 QUERIES["flatten_tracks"] = flatten_tracks
 ORACLE["flatten_tracks"] = with_views(
-    "SELECT video_id, frame, frame // 50 AS scene_no, det_idx AS track_id, class_name, conf AS confidence FROM detections", "detections"
+    """SELECT video_id, frame, frame // 50 AS scene_no, det_idx AS track_id, class_name, conf AS confidence,
+    row_number() OVER (PARTITION BY video_id ORDER BY frame, frame // 50, det_idx) - 1 AS position FROM detections""", "detections"
 )
 
 

@@ -26,13 +26,16 @@ def merge_transitions(chunk_transitions: DataFrame) -> DataFrame:
     return dedup_owned(chunk_transitions)
 
 
-def flatten_tracks(chunk_tracks: DataFrame) -> DataFrame:
+def flatten_tracks(chunk_tracks: DataFrame, position: str | None = None) -> DataFrame:
     """One row per tracked box, in (frame, scene, track) order.
 
     The boxes of ``BLOCK`` frames of a video lie together, in order; no order holds between
-    such parts, so nothing is sorted across the whole table.
+    such parts, so nothing is sorted across the whole table.  With ``position`` a column of
+    that name tells each box's place in the order of its whole video, from 0.
     """
     flat = chunk_tracks.select("video_id", F.inline("tracks"))
+    if position:
+        flat = scan(flat, ["video_id"], F.col("frame"), ["scene_no", "track_id"], rank=position)
     placed = flat.repartition("video_id", F.expr(f"frame div {BLOCK}"))
     return placed.sortWithinPartitions("video_id", "frame", "scene_no", "track_id")
 

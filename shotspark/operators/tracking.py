@@ -65,12 +65,11 @@ def tracker_resets(scenes: DataFrame, transitions: DataFrame, *, block: int = BL
 
 
 def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    ax1, ay1, ax2, ay2 = (a[:, i, None] for i in range(4))
-    bx1, by1, bx2, by2 = (b[None, :, i] for i in range(4))
-    w = np.minimum(ax2, bx2) - np.maximum(ax1, bx1)
-    h = np.minimum(ay2, by2) - np.maximum(ay1, by1)
-    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
-    union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
+    low = np.maximum(a[:, None, :2], b[None, :, :2])
+    size = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - low, 0.0)
+    inter = size[..., 0] * size[..., 1]
+    first, second = ((x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b))
+    union = first[:, None] + second[None, :] - inter
     return inter / np.where(union > 0, union, 1.0)
 
 
@@ -296,8 +295,7 @@ def associate_tracks(
     """
     if piece_frames <= params.buffer:
         raise ValueError("piece_frames must exceed the track buffer")
-    segments = durable(track_segments(dets, params, block=block))
-    rows = _units(dets, segments, params, piece_frames, block)
+    rows = _units(dets, track_segments(dets, params, block=block), params, piece_frames, block)
     schema = T.StructType([*rows.schema.fields, T.StructField("raw_id", T.LongType())])
 
     def run(units: DataFrame) -> DataFrame:
@@ -307,6 +305,9 @@ def associate_tracks(
     keep = [*dets.columns, "segment", "raw_id"]
     rows = durable(rows)
     first = run(rows)
+    if rows.where("last_piece > 0").isEmpty():
+        # No segment is longer than a piece, so nothing was handed over.
+        return first.withColumn("raw_id", F.col("raw_id").cast("bigint")).select(*keep)
 
     # What each piece was given, by the round that gave it; round 0 gave nothing.
     content = F.array_sort(F.collect_list(F.struct("slot", "frame", "x1", "y1", "x2", "y2")))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shotspark.functions.coords import duration_or, frame_count_or, parse_fps, positive
 from shotspark.functions.paths import VIDEO_SUFFIXES, truncate_error
+from shotspark.operators.ordered import scan
 from shotspark.operators.results import PART_FRAMES
 
 
@@ -36,6 +37,7 @@ ANNOTATION = T.MapType(
         [
             T.StructField("transitions", T.ArrayType(T.ArrayType(T.LongType()))),
             T.StructField("frame_num", T.LongType()),
+            T.StructField("offset", T.LongType()),
         ]
     ),
 )
@@ -43,15 +45,19 @@ ANNOTATION = T.MapType(
 
 def annotations_from_json(docs: DataFrame) -> DataFrame:
     """A3: documents ``{video: {transitions: [[s, e], ...], frame_num}}`` in ``value`` to one
-    row per transition; a video without any keeps one row with NULL frames."""
+    row per transition; a video without any keeps one row with NULL frames.
+
+    ``pos`` counts from the document's ``offset``, which documents of later stretches of a video carry.
+    """
     videos = docs.select(F.explode(F.from_json("value", ANNOTATION)).alias("video_id", "a"))
     rows = videos.select(
         "video_id",
         F.coalesce("a.frame_num", F.lit(0)).cast("bigint").alias("frame_num"),
+        F.coalesce("a.offset", F.lit(0)).cast("int").alias("offset"),
         F.posexplode_outer("a.transitions").alias("pos", "t"),
     )
     return rows.select(
-        "video_id", "pos", F.get("t", F.lit(0)).alias("start_frame"), F.get("t", F.lit(1)).alias("end_frame"), "frame_num"
+        "video_id", (F.col("pos") + F.col("offset")).alias("pos"), F.get("t", F.lit(0)).alias("start_frame"), F.get("t", F.lit(1)).alias("end_frame"), "frame_num"
     )
 
 
@@ -64,16 +70,20 @@ def annotations_to_json(ann: DataFrame, *, part_frames: int = PART_FRAMES) -> Da
     """A4: annotation documents in ``value``, one per video and stretch of frames.
 
     A document covers ``part_frames`` frames of one video; readers add documents up, so a
-    heavily annotated video is never gathered into one row.
+    heavily annotated video is never gathered into one row.  Later documents say by ``offset``
+    how many transitions stand in those before them.
     """
     rows = ann.withColumn("__part", F.coalesce(F.expr(f"start_frame div {part_frames}"), F.lit(0)))
     pair = F.when(F.col("start_frame").isNotNull(), F.struct("start_frame", "end_frame"))
     docs = rows.groupBy("video_id", "__part").agg(
         F.array_sort(F.collect_list(pair)).alias("pairs"), F.max("frame_num").alias("frame_num")
     )
+    own = F.size("pairs").cast("bigint")
+    docs = scan(docs, ["video_id"], F.col("__part").cast("bigint"), sums={"__upto": own})
     body = F.struct(
         F.transform("pairs", lambda p: F.array(p["start_frame"], p["end_frame"])).alias("transitions"),
         F.col("frame_num"),
+        F.nullif(F.col("__upto") - own, F.lit(0).cast("bigint")).alias("offset"),
     )
     return docs.select(F.to_json(F.create_map(F.col("video_id").cast("string"), body)).alias("value"))
 

@@ -71,3 +71,23 @@ def test_a_task_of_five_million_attempts(spark):
     # Blocks are alike, so no task of any exchange holds much more than another.
     sizes = [r["count"] for r in rows.groupBy(F.floor(F.col("chunk_index") / delivery.PUBLISH_BLOCK)).count().collect()]
     assert max(sizes) <= 2 * np.median(sizes) and len(sizes) > 300
+
+
+def test_a_million_blocks_under_one_key(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit(None).cast("string").alias("k"), (F.col("id") * 5 + 3).alias("at"), (F.col("id") % 7).alias("v"))
+    got = scan(rows, ["k"], F.col("at"), width=5, rank="n", sums={"s": F.col("v")}, maxes={"m": F.col("v")}, previous={"p": F.col("at")})
+    whole, rest = F.expr("n div 7 * 21"), F.expr("n % 7")
+    wrong = got.where((F.col("at") != F.col("n") * 5 + 3) | (F.col("s") != whole + rest * (rest + 1) / 2) | (F.col("m") != F.least(F.col("n"), F.lit(6))))
+    assert got.count() == n and wrong.isEmpty()
+    assert got.where(~F.col("p").eqNullSafe(F.when(F.col("n") > 0, F.col("at") - 5))).isEmpty()
+
+
+def test_in_flight_overall_over_many_blocks(spark):
+    n = 100_000
+    rows = spark.range(n).select((F.col("id") % 3).alias("task_id"), (F.col("id") * 10).alias("us"), F.col("id").alias("event_id"))
+    done = rows.withColumn("us", F.col("us") + 15)
+    got = delivery.in_flight(rows, done, width=10)
+    # Each chunk is open for one and a half steps: one or two at any time.
+    assert got.count() == 2 * n and {r[0] for r in got.where("us > 20 and us < 900000").select("total_in_flight").distinct().collect()} == {1, 2}
+    assert got.agg(F.max("active_tasks")).first()[0] == 2

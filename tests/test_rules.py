@@ -127,7 +127,7 @@ def test_annotation_files(spark, tmp_path):
     again = files.read_annotation_lines(spark, back)
     assert sorted(map(tuple, again.fillna(-1).collect())) == rows
     tiny = files.annotations_from_json(files.annotations_to_json(files.read_annotations(spark, str(doc)), part_frames=8))
-    assert sorted((r.video_id, r.start_frame, r.end_frame) for r in tiny.where("start_frame is not null").collect()) == [("v1", 5, 6), ("v1", 9, 20)]
+    assert sorted((r.video_id, r.pos, r.start_frame, r.end_frame) for r in tiny.where("start_frame is not null").collect()) == [("v1", 0, 5, 6), ("v1", 1, 9, 20)]
 
 
 def test_video_listing_is_case_insensitive(spark, tmp_path):
