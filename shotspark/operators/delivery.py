@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shotspark.operators.blocks import sorted_by, whole_groups
 from shotspark.operators.ordered import BLOCK, TIME_BLOCK_US, scan
+from shotspark.session import durable
 
 CHUNK = ["task_id", "chunk_index"]
 
@@ -299,7 +300,8 @@ def in_flight(
         completed.select("task_id", "us", "event_id", F.lit(-1).alias("delta"))
     )
     order = ["delta", "event_id"]
-    mine = scan(events, ["task_id"], F.col("us"), order, width=width, sums={"task_in_flight": F.col("delta")})
+    # Written once, because the scan over all tasks reads its input twice.
+    mine = durable(scan(events, ["task_id"], F.col("us"), order, width=width, sums={"task_in_flight": F.col("delta")}))
     turn = (
         F.when((F.col("delta") == 1) & (F.col("task_in_flight") == 1), 1)
         .when((F.col("delta") == -1) & (F.col("task_in_flight") == 0), -1)
